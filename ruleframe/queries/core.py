@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleframe.operators import hierarchy, orphans, twocopy
+from ruleframe.operators import drift, hierarchy, orphans, profile, twocopy
 from ruleframe.session import table
+from ruleframe.storage import cut
 
 LEDGER_KEY = ["voucher_no", "line_no"]
 LEDGER_FIELDS = ["entity", "element_code", "period", "currency", "amount", "memo", "posted_on", "state"]
@@ -56,7 +57,65 @@ def p6_values(spark: SparkSession, d: str) -> DataFrame:
     return _ledgers(spark, d).where("change = 'changed' and field_name not in ('amount', 'posted_on')")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p3_found, p3_counts, p6_found, p6_values)}
+def _books(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The records of all schedule books and of all sheets."""
+    steps = table(spark, d, "schedule").withColumn("series", F.concat_ws("|", "book_code", "function"))
+    return (
+        drift.parse(steps, "series", "file_no", "step_order", "params", "loaded_at"),
+        drift.parse(table(spark, d, "sheet_rows"), "input_sheet_name", "file_no", "row_key", "record", "loaded_at"),
+    )
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    books, sheets = [drift.changes(cut(r)) for r in _books(spark, d)]
+    both = books.withColumn("table_name", F.lit("schedule")).unionByName(sheets.withColumn("table_name", F.lit("sheet_rows")))
+    return both.select("table_name", "series", F.col("file").alias("file_no"), F.col("field").alias("field_name"), "change", "new_field")
+
+
+def p4_unified(spark: SparkSession, d: str) -> DataFrame:
+    done = []
+    for name, records in zip(("schedule", "sheet_rows"), _books(spark, d)):
+        kept = cut(records)
+        one = drift.unify(kept, cut(drift.changes(kept)))
+        done.append(one.select(F.lit(name).alias("table_name"), "series", F.col("file").alias("file_no"), F.col("rec").cast("double").alias("record_key"), F.to_json("fields").alias("fields")))
+    return done[0].unionByName(done[1])
+
+
+#: What a column with a declared form may look like; other columns are judged by their dominant masks.
+DECLARED = {"period": ["yyyyMM"], "is_base": ["Y", "N"]}
+PERIODS = {"period": ("202401", "202512")}
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    detail, members = table(spark, d, "detail"), table(spark, d, "metadata")
+    counts = cut(profile.mask_counts(detail, "load_id"))
+    single = profile.violations(detail, "detail_id", DECLARED, PERIODS, "load_id").withColumn("table_name", F.lit("detail"))
+    flags = profile.violations(members, "meta_id", {"is_base": DECLARED["is_base"]}).withColumn("table_name", F.lit("metadata"))
+    before = cut(profile.previous_loads(table(spark, d, "load_log")))
+    medians = {"amount": cut(profile.group_medians(detail, "load_id", "amount"))}
+    loads = profile.load_departures(counts, medians, before, {"is_base": "Y"})
+    loads = loads.withColumns({"table_name": F.lit("detail"), "row_id": F.lit(0).cast("long"), "load_id": F.col("load_id").cast("int")})
+    return single.unionByName(flags).unionByName(loads).select("table_name", "finding", "column_name", "load_id", "row_id")
+
+
+def p5_profile(spark: SparkSession, d: str) -> DataFrame:
+    named = [(n, table(spark, d, n)) for n in ("detail", "metadata")]
+    first, second = [profile.profile(t).withColumn("table_name", F.lit(n)) for n, t in named]
+    return first.unionByName(second)
+
+
+def p5_rare_masks(spark: SparkSession, d: str) -> DataFrame:
+    """Masks of ``detail`` that make up less than a twentieth of their column, with their rows."""
+    counts = cut(profile.mask_counts(table(spark, d, "detail"), None)).where("mask is not null").select("column_name", "mask", "n")
+    return counts.join(profile.dominant_masks(counts).select("column_name", "mask"), ["column_name", "mask"], "left_anti")
+
+
+def p5_divergence(spark: SparkSession, d: str) -> DataFrame:
+    counts = cut(profile.mask_counts(table(spark, d, "detail"), "load_id"))
+    return profile.divergence(counts, cut(profile.previous_loads(table(spark, d, "load_log"))))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p3_found, p3_counts, p4_found, p4_unified, p5_found, p5_profile, p5_rare_masks, p5_divergence, p6_found, p6_values)}
 
 _TREE = """WITH RECURSIVE m AS (
   SELECT dimension AS d, element_code AS c, min(CASE WHEN trim(parent) <> '' THEN parent END) AS p FROM metadata
@@ -85,6 +144,22 @@ _DIFF_TEXTS = " UNION ALL ".join(
     for f in _TEXTS
 )
 
+_P5_COLUMNS = ["detail_id", "voucher_no", "line_no", "period", "entity", "element_code", "is_base", "currency", "amount", "amount2", "booked_at"]
+_P5 = (
+    """WITH s AS (SELECT load_id, count(*) AS n, """
+    + ", ".join(f"count({c}) AS c_{c}" for c in _P5_COLUMNS)
+    + """, count(*) FILTER (WHERE is_base = 'Y') AS y, median(abs(amount)) AS med FROM detail GROUP BY load_id),
+b AS (SELECT load_id, lag(load_id) OVER (PARTITION BY feed_code ORDER BY load_seq) AS prev FROM load_log),
+j AS (SELECT s AS a, o AS o FROM b JOIN s ON s.load_id = b.load_id JOIN s o ON o.load_id = b.prev)
+SELECT 'detail' AS table_name, 'pattern' AS finding, 'period' AS column_name, load_id, detail_id AS row_id FROM detail WHERE NOT regexp_full_match(period, '[0-9]{4}(0[1-9]|1[0-2])')
+UNION ALL SELECT 'detail', 'pattern', 'is_base', load_id, detail_id FROM detail WHERE is_base NOT IN ('Y', 'N')
+UNION ALL SELECT 'metadata', 'pattern', 'is_base', 0, meta_id FROM metadata WHERE is_base NOT IN ('Y', 'N')
+UNION ALL SELECT 'detail', 'range', 'period', load_id, detail_id FROM detail WHERE regexp_full_match(period, '[0-9]{4}(0[1-9]|1[0-2])') AND (period < '202401' OR period > '202512')
+UNION ALL SELECT 'detail', 'mix', 'is_base', a.load_id, 0 FROM j WHERE round(abs(a.y / a.c_is_base - o.y / o.c_is_base), 9) >= 0.2
+UNION ALL SELECT 'detail', 'median', 'amount', a.load_id, 0 FROM j WHERE a.med >= o.med * 10 OR a.med <= o.med / 10"""
+    + "".join(f" UNION ALL SELECT 'detail', 'null_share', '{c}', a.load_id, 0 FROM j WHERE round(abs(a.c_{c} / a.n - o.c_{c} / o.n), 9) >= 0.1" for c in _P5_COLUMNS)
+)
+
 ORACLE = {
     "p1_found": _TREE
     + """, below AS (SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.d = m.d AND r.c = m.c)),
@@ -99,6 +174,7 @@ UNION ALL SELECT d, c, '', -1, CASE WHEN EXISTS (SELECT 1 FROM walk w WHERE w.d
 FROM r b JOIN r a ON a.d = b.d AND a.root = b.root AND (b.path = a.path OR starts_with(b.path, a.path || '/'))""",
     "p3_found": _ORPHANS + " SELECT table_name, row_id, reason, ref_month FROM bad",
     "p3_counts": _ORPHANS + " SELECT table_name, ref_month, reason, count(*) AS n_orphans FROM bad GROUP BY ALL",
+    "p5_found": _P5,
     "p6_found": _DIFF
     + f""" SELECT voucher_no, line_no, CASE WHEN no_r THEN 'only_df_1' ELSE 'only_df_2' END AS change, '' AS field_name FROM j WHERE no_l OR no_r
 UNION ALL SELECT voucher_no, line_no, 'changed', 'amount' FROM j WHERE NOT no_l AND NOT no_r AND (l.amount IS NULL) <> (r.amount IS NULL)
