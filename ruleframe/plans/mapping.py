@@ -136,6 +136,8 @@ def _hits(combos: DataFrame, rules: list[Rule], fields: list[str]) -> DataFrame:
         tests = [F.rlike(text(n), F.col(k)) if s else text(n) == F.col(k) for n, k, s in zip(names, keys, shape)]
         met = combos.join(table, reduce(lambda a, b: a & b, tests)) if tests else combos.join(table, F.lit(True))
         parts.append(met.select(*[q(d) for d in dims], "__prio", "__ord", "__code", *outs))
+    if not parts:  # malformed patterns match nothing
+        return combos.limit(0).select(*[q(d) for d in dims], F.lit(0.0).alias("__prio"), F.lit(0).cast("long").alias("__ord"), F.lit("").alias("__code"), *[F.lit("").alias(o) for o in outs])
     return reduce(DataFrame.unionByName, parts)
 
 
