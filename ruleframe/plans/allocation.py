@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from ruleframe.errors import RuleError
 from ruleframe.functions.columns import amounts, blank, is_text, number, q, require
+from ruleframe.functions.conditions import predicate
 from ruleframe.operators import hierarchy
+from ruleframe.operators.sizes import BROADCAST_ROWS, small
 from ruleframe.operators.table import assign, group_keys
-from ruleframe.operators.sizes import small
 from ruleframe.operators.unify import union_relaxed
-from ruleframe.functions.conditions import predicate
+from ruleframe.storage import cut
 
 LABEL, TRACE = "dim_alclabel", "dim_alctrace"
 #: Up to so many members the closure is made by the driver; above, by ``operators.hierarchy``.
@@ -65,8 +66,8 @@ def base_members(metadata: DataFrame, dimension: str = "dimension", code: str =
     if rows.groupBy(dimension, code).count().where("count > 1").limit(1).count():
         raise RuleError("a member is there twice")
     flag = rows.select(q(dimension).alias("d"), q(code).alias("c"), q(is_base).alias("b"), q(parent).alias("p"))
-    cut = flag.join(flag.select("d", F.col("c").alias("p"), (F.col("b") == "Y").alias("under_base")), ["d", "p"], "left")
-    tree = hierarchy.build(cut.withColumn("p", F.when(~F.coalesce(F.col("under_base"), F.lit(False)), F.col("p"))), "d", "c", "p")
+    linked = flag.join(flag.select("d", F.col("c").alias("p"), (F.col("b") == "Y").alias("under_base")), ["d", "p"], "left")
+    tree = hierarchy.build(linked.withColumn("p", F.when(~F.coalesce(F.col("under_base"), F.lit(False)), F.col("p"))), "d", "c", "p")
     if tree.nodes.where("link_state <> 'tree'").limit(1).count():
         raise RuleError("the members have a cycle")
     pairs = tree.closure().where("distance > 0").join(flag.where("b = 'Y'").select(F.col("d").alias("dimension"), F.col("c").alias("descendant")), ["dimension", "descendant"])
@@ -128,16 +129,18 @@ def allocate_basic(facts: DataFrame, factors: DataFrame, keys: list[str], target
         facts = facts.groupBy(*map(q, by)).agg(*[F.sum(q(v)).alias(v) for v in value_columns])
     require(facts, [name(k) for k in keys], "fact table")
     table = shares(factors, keys, targets, rate)
-    table = table.select(*[q(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[q(t).alias(f"__t{i}") for i, t in enumerate(targets)], "__share")
+    table = cut(table.select(*[q(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[q(t).alias(f"__t{i}") for i, t in enumerate(targets)], "__share"))
+    few = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hint = F.broadcast if few else lambda x: x
     same = lambda i, k: q(name(k)).eqNullSafe(F.col(f"__k{i}")) if null_keys_match else q(name(k)) == F.col(f"__k{i}")
     on = reduce(lambda a, b: a & b, [same(i, k) for i, k in enumerate(keys)], F.lit(True))
     ids = [c for c in facts.columns if c not in value_columns]
     new = [name(t) for t in targets]
     target = {name(t): F.col(f"__t{i}") for i, t in enumerate(targets)}
     cover = F.when(F.col("__share").isNull(), F.raise_error(F.lit("a factor key met by facts has no usable weight")).cast("double")).otherwise(F.col("__share"))
-    met = facts.join(small(table), on).withColumn("__s", cover)
+    met = facts.join(hint(table), on).withColumn("__s", cover)
     put = met.select(*[target[c].alias(c) if c in target else q(c) for c in ids], *[target[t].alias(t) for t in new if t not in ids], *[(q(v) * F.col("__s")).alias(v) for v in value_columns], *[q(v).alias(f"__orig_{v}") for v in value_columns])
-    once = small(table.select(*[f"__k{i}" for i in range(len(keys))]).distinct()) if keys else None
+    once = hint(table.select(*[f"__k{i}" for i in range(len(keys))]).distinct()) if keys else None
     out = facts.join(once, on, "left_semi") if keys else facts.join(F.broadcast(table.limit(1).select()), F.lit(True))
     taken = out.select(*[q(c) for c in ids], *[F.lit(None).cast(put.schema[t].dataType).alias(t) for t in new if t not in ids], *[(F.lit(0.0) - q(v)).alias(v) for v in value_columns], *[q(v).alias(f"__orig_{v}") for v in value_columns])
     if share_column:
@@ -196,6 +199,7 @@ def allocate(facts: DataFrame, factors: DataFrame, metadata: DataFrame | None, v
         factors = factors.where(predicate(factors, factor_query))
     if metadata is not None:
         factors = expand_factors(factors, metadata, out_prefix, **metadata_names)
+    factors = cut(factors)  # small, and read once a pattern
     outs, ins = [[c for c in factors.columns if c.startswith(p)] for p in (out_prefix, in_prefix)]
     if not ins:
         raise RuleError(f"the factor table has no {in_prefix} column")

@@ -144,6 +144,26 @@ _DIFF_TEXTS = " UNION ALL ".join(
     for f in _TEXTS
 )
 
+_P4 = """WITH src AS (
+  SELECT 'schedule' AS t, book_code || '|' || function AS s, file_no AS f, CAST(step_order AS DOUBLE) AS r, params AS j FROM schedule
+  UNION ALL SELECT 'sheet_rows', input_sheet_name, file_no, row_key, record FROM sheet_rows),
+one AS (SELECT t, s, f, r, any_value(j) AS j FROM src GROUP BY ALL),
+cells AS (SELECT t, s, f, r, e.key AS k, CASE WHEN e.type <> 'NULL' THEN CAST(e.value AS VARCHAR) END AS v,
+  CASE e.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind FROM one, json_each(j) e),
+tr AS (SELECT t, s, f, lag(f) OVER (PARTITION BY t, s ORDER BY f) AS p FROM (SELECT DISTINCT t, s, f FROM one)),
+flds AS (SELECT t, s, f, k, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM cells GROUP BY ALL),
+starts AS (SELECT tr.*, a.k FROM tr JOIN flds a ON a.t = tr.t AND a.s = tr.s AND a.f = tr.f ANTI JOIN flds b ON b.t = tr.t AND b.s = tr.s AND b.f = tr.p AND b.k = a.k WHERE p IS NOT NULL),
+stops AS (SELECT tr.*, a.k FROM tr JOIN flds a ON a.t = tr.t AND a.s = tr.s AND a.f = tr.p ANTI JOIN flds b ON b.t = tr.t AND b.s = tr.s AND b.f = tr.f AND b.k = a.k),
+pairs AS (SELECT o.t, o.s, o.f, o.p, o.k AS old, n.k AS new FROM stops o JOIN starts n ON n.t = o.t AND n.s = o.s AND n.f = o.f),
+ren AS (SELECT q.t, q.s, q.f, q.old, q.new FROM pairs q JOIN one a ON a.t = q.t AND a.s = q.s AND a.f = q.p JOIN one b ON b.t = q.t AND b.s = q.s AND b.f = q.f AND b.r = a.r
+  LEFT JOIN cells x ON x.t = q.t AND x.s = q.s AND x.f = q.p AND x.r = a.r AND x.k = q.old LEFT JOIN cells y ON y.t = q.t AND y.s = q.s AND y.f = q.f AND y.r = a.r AND y.k = q.new
+  GROUP BY ALL HAVING bool_and(x.v IS NOT DISTINCT FROM y.v)),
+found AS (SELECT t, s, f, old AS k, 'renamed' AS change, new FROM ren
+  UNION ALL SELECT t, s, f, k, 'removed', '' FROM stops WHERE (t, s, f, k) NOT IN (SELECT t, s, f, old FROM ren)
+  UNION ALL SELECT t, s, f, k, 'added', '' FROM starts WHERE (t, s, f, k) NOT IN (SELECT t, s, f, new FROM ren)
+  UNION ALL SELECT tr.t, tr.s, tr.f, a.k, 'retyped', '' FROM tr JOIN flds a ON a.t = tr.t AND a.s = tr.s AND a.f = tr.f JOIN flds b ON b.t = tr.t AND b.s = tr.s AND b.f = tr.p AND b.k = a.k WHERE a.kinds <> b.kinds)
+SELECT t AS table_name, s AS series, f AS file_no, k AS field_name, change, new AS new_field FROM found"""
+
 _P5_COLUMNS = ["detail_id", "voucher_no", "line_no", "period", "entity", "element_code", "is_base", "currency", "amount", "amount2", "booked_at"]
 _P5 = (
     """WITH s AS (SELECT load_id, count(*) AS n, """
@@ -174,6 +194,7 @@ UNION ALL SELECT d, c, '', -1, CASE WHEN EXISTS (SELECT 1 FROM walk w WHERE w.d
 FROM r b JOIN r a ON a.d = b.d AND a.root = b.root AND (b.path = a.path OR starts_with(b.path, a.path || '/'))""",
     "p3_found": _ORPHANS + " SELECT table_name, row_id, reason, ref_month FROM bad",
     "p3_counts": _ORPHANS + " SELECT table_name, ref_month, reason, count(*) AS n_orphans FROM bad GROUP BY ALL",
+    "p4_found": _P4,
     "p5_found": _P5,
     "p6_found": _DIFF
     + f""" SELECT voucher_no, line_no, CASE WHEN no_r THEN 'only_df_1' ELSE 'only_df_2' END AS change, '' AS field_name FROM j WHERE no_l OR no_r
