@@ -57,28 +57,23 @@ def p6_values(spark: SparkSession, d: str) -> DataFrame:
     return _ledgers(spark, d).where("change = 'changed' and field_name not in ('amount', 'posted_on')")
 
 
-def _books(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The records of all schedule books and of all sheets."""
-    steps = table(spark, d, "schedule").withColumn("series", F.concat_ws("|", "book_code", "function"))
-    return (
-        drift.parse(steps, "series", "file_no", "step_order", "params", "loaded_at"),
-        drift.parse(table(spark, d, "sheet_rows"), "input_sheet_name", "file_no", "row_key", "record", "loaded_at"),
-    )
+def _books(spark: SparkSession, d: str) -> DataFrame:
+    """The records of all schedule books and of all sheets; a series is told by its table and its name."""
+    steps = table(spark, d, "schedule").select(F.struct(F.lit("schedule").alias("t"), F.concat_ws("|", "book_code", "function").alias("s")).alias("series"), "file_no", F.col("step_order").cast("double").alias("rec"), F.col("params").alias("json"), "loaded_at")
+    sheets = table(spark, d, "sheet_rows").select(F.struct(F.lit("sheet_rows").alias("t"), F.col("input_sheet_name").alias("s")).alias("series"), "file_no", F.col("row_key").cast("double").alias("rec"), F.col("record").alias("json"), "loaded_at")
+    named = steps.unionByName(sheets).where("series.s is not null")
+    return drift.parse(named, "series", "file_no", "rec", "json", "loaded_at")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    books, sheets = [drift.changes(cut(r)) for r in _books(spark, d)]
-    both = books.withColumn("table_name", F.lit("schedule")).unionByName(sheets.withColumn("table_name", F.lit("sheet_rows")))
-    return both.select("table_name", "series", F.col("file").alias("file_no"), F.col("field").alias("field_name"), "change", "new_field")
+    found = drift.changes(cut(_books(spark, d)))
+    return found.select(F.col("series.t").alias("table_name"), F.col("series.s").alias("series"), F.col("file").alias("file_no"), F.col("field").alias("field_name"), "change", "new_field")
 
 
 def p4_unified(spark: SparkSession, d: str) -> DataFrame:
-    done = []
-    for name, records in zip(("schedule", "sheet_rows"), _books(spark, d)):
-        kept = cut(records)
-        one = drift.unify(kept, cut(drift.changes(kept)))
-        done.append(one.select(F.lit(name).alias("table_name"), "series", F.col("file").alias("file_no"), F.col("rec").cast("double").alias("record_key"), F.to_json("fields").alias("fields")))
-    return done[0].unionByName(done[1])
+    records = cut(_books(spark, d))
+    one = drift.unify(records, cut(drift.changes(records)))
+    return one.select(F.col("series.t").alias("table_name"), F.col("series.s").alias("series"), F.col("file").alias("file_no"), F.col("rec").alias("record_key"), F.to_json("fields").alias("fields"))
 
 
 #: What a column with a declared form may look like; other columns are judged by their dominant masks.

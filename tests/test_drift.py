@@ -53,3 +53,12 @@ def test_assignment_is_optimal():
             best = max(sum(gain[p[j]][j] for j in range(m)) for p in itertools.permutations(range(n), m))
         assert abs(got - best) < 1e-9
     assert drift.assign([]) == []
+
+
+def test_series_of_two_parts(spark):
+    data = [("t", "a", 1, r, json.dumps({"net_amount": 5, "tax_code": 5})) for r in (1, 2)] + [("t", "a", 2, r, json.dumps({"taxCode": 5, "NetAmount": 5})) for r in (1, 2)]
+    rows = spark.createDataFrame(data, "t string, s string, f int, r int, j string").selectExpr("struct(t, s) as series", "f", "r", "j")
+    records = drift.parse(rows, "series", "f", "r", "j")
+    found = drift.changes(records)
+    assert sorted((tuple(x.series), x.field, x.new_field) for x in found.collect()) == [(("t", "a"), "net_amount", "NetAmount"), (("t", "a"), "tax_code", "taxCode")]
+    assert {tuple(sorted(x.fields)) for x in drift.unify(records, found).collect()} == {("NetAmount", "taxCode")}
