@@ -29,7 +29,7 @@ LABEL, TRACE = "dim_alclabel", "dim_alctrace"
 MEMBERS_ON_DRIVER = 100_000
 
 
-def base_members(metadata: DataFrame, dimension: str = "dimension", code: str = "element_code", is_base: str = "is_base", parent: str = "parent") -> DataFrame:
+def base_members(metadata: DataFrame, dimension: str = "dimension", code: str = "element_code", is_base: str = "is_base", parent: str = "parent", base_flag: str = "Y") -> DataFrame:
     """(``dimension``, ``ancestor``, ``base``): each summary member with all base members under it.
 
     What hangs on a base member is not reached through it. Repeated members and cycles are errors.
@@ -45,7 +45,7 @@ def base_members(metadata: DataFrame, dimension: str = "dimension", code: str =
         for d, c, b, p in held:
             if (d, c) in base:
                 raise RuleError(f"member {c} of {d} is there twice")
-            base[d, c] = b == "Y"
+            base[d, c] = b == base_flag
             if p is not None and str(p).strip():
                 children[d, p].append(c)
         out = []
@@ -66,11 +66,11 @@ def base_members(metadata: DataFrame, dimension: str = "dimension", code: str =
     if rows.groupBy(dimension, code).count().where("count > 1").limit(1).count():
         raise RuleError("a member is there twice")
     flag = rows.select(q(dimension).alias("d"), q(code).alias("c"), q(is_base).alias("b"), q(parent).alias("p"))
-    linked = flag.join(flag.select("d", F.col("c").alias("p"), (F.col("b") == "Y").alias("under_base")), ["d", "p"], "left")
+    linked = flag.join(flag.select("d", F.col("c").alias("p"), (F.col("b") == base_flag).alias("under_base")), ["d", "p"], "left")
     tree = hierarchy.build(linked.withColumn("p", F.when(~F.coalesce(F.col("under_base"), F.lit(False)), F.col("p"))), "d", "c", "p")
     if tree.nodes.where("link_state <> 'tree'").limit(1).count():
         raise RuleError("the members have a cycle")
-    pairs = tree.closure().where("distance > 0").join(flag.where("b = 'Y'").select(F.col("d").alias("dimension"), F.col("c").alias("descendant")), ["dimension", "descendant"])
+    pairs = tree.closure().where("distance > 0").join(flag.where(F.col("b") == base_flag).select(F.col("d").alias("dimension"), F.col("c").alias("descendant")), ["dimension", "descendant"])
     return pairs.select("dimension", "ancestor", F.col("descendant").alias("base"))
 
 
@@ -81,7 +81,7 @@ def expand_factors(factors: DataFrame, metadata: DataFrame, out_prefix: str = "o
     code, dim, flag = names.get("code", "element_code"), names.get("dimension", "dimension"), names.get("is_base", "is_base")
     known = metadata.select(q(dim).alias("dimension"), q(code).alias("ancestor"), q(flag).alias("flag"))
     # every member with what it stands for: itself if base
-    stands = bridge.unionByName(known.where("flag = 'Y'").select("dimension", "ancestor", F.col("ancestor").alias("base")))
+    stands = bridge.unionByName(known.where(F.col("flag") == names.get("base_flag", "Y")).select("dimension", "ancestor", F.col("ancestor").alias("base")))
     have = {r[0] for r in known.select("dimension").distinct().collect()}
     for c in [c for c in factors.columns if c.startswith(out_prefix) and c[len(out_prefix) :] in have]:
         part = stands.where(F.col("dimension") == c[len(out_prefix) :]).select("ancestor", "base")

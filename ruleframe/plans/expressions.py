@@ -12,24 +12,24 @@ from pyspark.sql import types as T
 from ruleframe.errors import RuleError
 from ruleframe.functions.columns import blank, is_text, kind, q
 
-Typed = tuple[Column, str]  # kinds: int, float, bool, str
+Typed = tuple[Column, str]  # kinds: int, float, bool, str, date
 
 _RANK = {"bool": 0, "int": 1, "float": 2}
 
 
 def _num(x: Typed) -> Typed:
     c, k = x
-    if k == "str":
-        raise RuleError("a text stands where a number is needed")
+    if k in ("str", "date"):
+        raise RuleError("a text or date stands where a number is needed")
     return (c.cast("long"), "int") if k == "bool" else x
 
 
 def _common(xs: list[Typed]) -> tuple[list[Column], str]:
     kinds = {k for _, k in xs}
-    if kinds == {"str"}:
-        return [c for c, _ in xs], "str"
-    if "str" in kinds:
-        raise RuleError("numbers and texts are mixed")
+    if kinds in ({"str"}, {"date"}):
+        return [c for c, _ in xs], kinds.pop()
+    if kinds & {"str", "date"}:
+        raise RuleError("numbers, texts and dates are mixed")
     top = max(kinds, key=_RANK.__getitem__)
     cast = {"float": "double", "int": "long", "bool": "boolean"}[top]
     return [c.cast(cast) for c, _ in xs], top
@@ -175,7 +175,49 @@ class _Compiler(ast.NodeVisitor):
             raise RuleError("slice bounds are whole numbers")
         return v
 
+    def visit_Attribute(self, node: ast.Attribute) -> Typed:
+        c, k = self.visit(node.value)
+        if k != "date" or node.attr not in ("year", "month", "day", "hour", "minute", "second"):
+            raise RuleError(f"the attribute {node.attr} is not allowed")
+        return getattr(F, {"day": "dayofmonth"}.get(node.attr, node.attr))(c).cast("long"), "int"
+
+    def _date_call(self, node: ast.Call) -> Typed:
+        """``arrow.get(text[, pattern])``, ``.shift(months=1, ...)``, ``.format(pattern)``."""
+        name = node.func.attr
+        if isinstance(node.func.value, ast.Name) and node.func.value.id == "arrow":
+            if name != "get" or len(node.args) not in (1, 2) or node.keywords:
+                raise RuleError("of arrow only get(text[, pattern]) is known")
+            c, k = self.visit(node.args[0])
+            text = c if k == "str" else c.cast("string")
+            if len(node.args) == 1:
+                return (c, "date") if k == "date" else (text.cast("timestamp_ntz"), "date")
+            return F.to_timestamp_ntz(text, F.lit(_java_date(self._text(node.args[1])))), "date"
+        c, k = self.visit(node.func.value)
+        if k != "date":
+            raise RuleError(f"the call of {name} is not allowed")
+        if name == "format":
+            pattern = self._text(node.args[0]) if node.args else "YYYY-MM-DD HH:mm:ssZZ"
+            return F.date_format(c, _java_date(pattern)), "str"
+        if name == "shift" and not node.args:
+            for part in node.keywords:
+                if part.arg not in ("years", "quarters", "months", "weeks", "days", "hours", "minutes", "seconds"):
+                    raise RuleError(f"a date cannot be shifted by {part.arg}")
+                n = _num(self.visit(part.value))[0].cast("int")
+                n, unit = (n * 3, "months") if part.arg == "quarters" else (n, {"minutes": "mins", "seconds": "secs"}.get(part.arg, part.arg))
+                c = c + F.make_interval(**{unit: n})
+            return c.cast("timestamp_ntz"), "date"
+        raise RuleError(f"the call of {name} is not allowed")
+
+    @staticmethod
+    def _text(node: ast.AST) -> str:
+        v = ast.literal_eval(node)
+        if not isinstance(v, str):
+            raise RuleError("a pattern is a text")
+        return v
+
     def visit_Call(self, node: ast.Call) -> Typed:
+        if isinstance(node.func, ast.Attribute):
+            return self._date_call(node)
         if not isinstance(node.func, ast.Name) or node.keywords:
             raise RuleError("only the listed functions can be called")
         args = [self.visit(a) for a in node.args] if not (node.args and isinstance(node.args[0], (ast.List, ast.Tuple))) else [self.visit(a) for a in node.args[0].elts]
@@ -211,6 +253,13 @@ class _Compiler(ast.NodeVisitor):
         raise RuleError(f"the function {name} is not allowed")
 
 
+def _java_date(pattern: str) -> str:
+    """A date pattern of the expression language in the JVM's letters."""
+    for theirs, ours in (("YYYY", "yyyy"), ("YY", "yy"), ("DD", "dd"), ("D", "d"), ("ZZ", "'+00:00'"), ("A", "a")):
+        pattern = pattern.replace(theirs, ours)
+    return pattern
+
+
 def column(df: DataFrame, name: str) -> Typed:
     """A column as an operand; null and blank are 0, in texts "0"."""
     t = kind(df, name)
@@ -222,6 +271,8 @@ def column(df: DataFrame, name: str) -> Typed:
         return F.coalesce(q(name).cast("long"), F.lit(0).cast("long")), "int"
     if isinstance(t, (T.FloatType, T.DoubleType, T.DecimalType)):
         return F.coalesce(q(name).cast("double"), F.lit(0.0)), "float"
+    if isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return q(name).cast("timestamp_ntz"), "date"
     return F.coalesce(q(name).cast("string"), F.lit("0")), "str"
 
 

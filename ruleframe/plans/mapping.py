@@ -159,7 +159,7 @@ def _resolve(df: DataFrame, raw: Column, values: list[str]) -> Column:
                 made.append((v, hit, "string"))
         elif m := _EXPRESSION.fullmatch(s):
             c, k = compile_expression(df, m.group(1))
-            made.append((v, c, {"int": "bigint", "float": "double", "bool": "boolean", "str": "string"}[k]))
+            made.append((v, c, {"int": "bigint", "float": "double", "bool": "boolean", "str": "string", "date": "timestamp_ntz"}[k]))
         else:
             plain = True
     if not made:

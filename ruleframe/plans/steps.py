@@ -51,7 +51,7 @@ def filter_by_conditions(store: Store, input_file_path: str, conditions: dict |
 
 
 @step
-def filter_group_sum_to_excel(store: Store, input_file_path: str, output_file_path: str, field_mapping_path: str | None = None, conditions: dict | str | None = None, group_sum_params: dict[str, Any] | None = None, input_sheet_name: str | None = None, output_sheet_name: str | None = None, field_mapping_sheet_name: str | None = None) -> str:
+def filter_group_sum_to_excel(store: Store, input_file_path: str, output_file_path: str, field_mapping_file_path: str | None = None, field_mapping_sheet_name: str | None = None, conditions: dict | str | None = None, group_sum_params: dict[str, Any] | None = None, input_sheet_name: str | None = None, output_sheet_name: str | None = None) -> str:
     df, verify = store.read(input_file_path, input_sheet_name), None
     if conditions is not None:
         df = table.filter_rows(df, conditions)
@@ -63,7 +63,7 @@ def filter_group_sum_to_excel(store: Store, input_file_path: str, output_file_pa
             df, verify = table.group_sum_checked(df, sums, p.pop("group_by", None), exclude, delta)
         else:
             df = table.group_sum(df, None, p.pop("group_by", None), exclude)
-    named = tables.captions(store.read(field_mapping_path, field_mapping_sheet_name)) if field_mapping_path else None
+    named = tables.captions(store.read(field_mapping_file_path, field_mapping_sheet_name)) if field_mapping_file_path else None
     return store.write(df, output_file_path, named, verify, output_sheet_name)
 
 
@@ -92,9 +92,9 @@ def concat(store: Store, input_file_paths: list[str], output_file_path: str, inp
 
 
 @step
-def append_with_overwrite(store: Store, database_file_path: str, upload_file_path: str, overwrite_conditions: dict | str, upload_sheet_name: str | None = None) -> str:
-    database = store.read(database_file_path) if os.path.exists(database_file_path) else None
-    return store.write(unify.replace_partition(database, store.read(upload_file_path, upload_sheet_name), overwrite_conditions), database_file_path)
+def append_with_overwrite(store: Store, database_file_path: str, upload_file_path: str, overwrite_conditions: dict | str, database_sheet_name: str | None = None, upload_sheet_name: str | None = None) -> str:
+    database = store.read(database_file_path, database_sheet_name) if os.path.exists(database_file_path) else None
+    return store.write(unify.replace_partition(database, store.read(upload_file_path, upload_sheet_name), overwrite_conditions), database_file_path, sheet=database_sheet_name)
 
 
 @step
@@ -127,9 +127,9 @@ def mapping_1t(store: Store, input_file_path: str, config_file_path: str, output
 
 
 @step
-def diff_by_row(store: Store, first_file_path: str, second_file_path: str, output_file_path: str, check_columns: list[str] | None = None, exclude_columns: list[str] | None = None, column_map: dict[str, str] | None = None, diff_source_col: str = "_tmp_diff_src", first_sheet_name: str | None = None, second_sheet_name: str | None = None) -> str:
+def diff_by_row(store: Store, first_file_path: str, second_file_path: str, output_file_path: str, check_columns: list[str] | None = None, exclude_columns: list[str] | None = None, column_map: dict[str, str] | None = None, diff_source_col: str = "_tmp_diff_src", first_sheet_name: str | None = None, second_sheet_name: str | None = None, output_sheet_name: str | None = None) -> str:
     pair = store.read(first_file_path, first_sheet_name), store.read(second_file_path, second_sheet_name)
-    return store.write(diff.diff_rows(*pair, check_columns, exclude_columns, column_map, diff_source_col), output_file_path)
+    return store.write(diff.diff_rows(*pair, check_columns, exclude_columns, column_map, diff_source_col), output_file_path, sheet=output_sheet_name)
 
 
 @step
@@ -140,22 +140,24 @@ def diff_by_row_to_excel(store: Store, first_file_path: str, second_file_path: s
 
 
 @step
-def diff_by_group(store: Store, left_file_path: str, left_groupby: list[str], left_sum: list[str], right_file_path: str, output_file_path: str, right_groupby: list[str] | None = None, right_sum: list[str] | None = None, keep_groupby: str = "left", abs_delta: float = 0.5, left_sheet_name: str | None = None, right_sheet_name: str | None = None) -> str:
+def diff_by_group(store: Store, left_file_path: str, left_groupby: list[str], left_sum: list[str], right_file_path: str, output_file_path: str, right_groupby: list[str] | None = None, right_sum: list[str] | None = None, keep_groupby: str = "left", abs_delta: float = 0.5, left_sheet_name: str | None = None, right_sheet_name: str | None = None, output_sheet_name: str | None = None) -> str:
     pair = store.read(left_file_path, left_sheet_name), store.read(right_file_path, right_sheet_name)
-    return store.write(diff.diff_groups(pair[0], left_groupby, left_sum, pair[1], right_groupby, right_sum, keep_groupby, abs_delta), output_file_path)
+    return store.write(diff.diff_groups(pair[0], left_groupby, left_sum, pair[1], right_groupby, right_sum, keep_groupby, abs_delta), output_file_path, sheet=output_sheet_name)
 
 
 @step
-def allocate(store: Store, input_file_path: str, factor_file_path: str, metadata_file_path: str, output_file_path: str, value_columns: list[str], rate_column: str = "rate", out_prefix: str = "out_", in_prefix: str = "in_", keep_label: bool = False, group_by: list[str] | None = None, group_by_exclude: list[str] | None = None, abs_delta: float = 5, factor_output_path: str | None = None, factor_query: dict | str | None = None, assign_result: dict[str, Any] | None = None, dimension_column: str = "dimension", code_column: str = "element_code", is_base_column: str = "is_base", parent_column: str = "parent", input_sheet_name: str | None = None, factor_sheet_name: str | None = None, metadata_sheet_name: str | None = None) -> str:
+def allocate(store: Store, input_file_path: str, factor_file_path: str, metadata_file_path: str, output_file_path: str, value_columns: str | list[str], input_sheet_name: str | None = None, factor_sheet_name: str | None = None, metadata_sheet_name: str | None = None, output_sheet_name: str | None = None, rate_column: str = "rate", out_prefix: str = "out_", in_prefix: str = "in_", dimension_column: str = "dimension", element_column: str = "element_code", base_flag_column: str = "is_base", parent_column: str = "parent", base_flag_value: str = "Y", keep_label: bool = False, group_by: list[str] | None = None, group_by_exclude: list[str] | None = None, abs_delta: float = 5, factor_output_file_path: str | None = None, factor_output_sheet_name: str | None = None, factor_query: dict | str | None = None, assign_result: dict[str, Any] | None = None) -> str:
+    values = [value_columns] if isinstance(value_columns, str) else list(value_columns)
     facts, members = store.read(input_file_path, input_sheet_name), store.read(metadata_file_path, metadata_sheet_name)
     factors = store.read(factor_file_path, factor_sheet_name)
     if factor_query:
         factors = table.filter_rows(factors, factor_query)
-    factors = allocation.expand_factors(factors, members, out_prefix, dimension=dimension_column, code=code_column, is_base=is_base_column, parent=parent_column)
-    if factor_output_path:
-        store.write(factors, factor_output_path)
-    result = allocation.allocate(facts, factors, None, value_columns, rate_column, out_prefix, in_prefix, keep_label, group_by, group_by_exclude, assign_result=assign_result)
-    return store.write(*(lambda r: (r[0], output_file_path, None, r[1]))(allocation.conserved(result, value_columns, abs_delta)))
+    factors = allocation.expand_factors(factors, members, out_prefix, dimension=dimension_column, code=element_column, is_base=base_flag_column, parent=parent_column, base_flag=base_flag_value)
+    if factor_output_file_path:
+        store.write(factors, factor_output_file_path, sheet=factor_output_sheet_name)
+    result = allocation.allocate(facts, factors, None, values, rate_column, out_prefix, in_prefix, keep_label, group_by, group_by_exclude, assign_result=assign_result)
+    watched, verify = allocation.conserved(result, values, abs_delta)
+    return store.write(watched, output_file_path, None, verify, output_sheet_name)
 
 
 @step

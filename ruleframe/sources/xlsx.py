@@ -203,9 +203,10 @@ def _cell(at: str, v: Any, style: int = 0) -> str:
     return f'<c r="{at}"{s} t="inlineStr"><is><t xml:space="preserve">{text}</t></is></c>'
 
 
-def write_rows(path: str, header: list[str], rows: Iterable[Iterable[Any]], sheet: str = "Sheet1", captions: dict[str, str] | None = None, filtered: bool = False, marked: Callable[[tuple], set[int]] | None = None, progress: Callable[[int], None] | None = None, batch: int = 10_000) -> str:
+def write_rows(path: str, header: list[str], rows: Iterable[Iterable[Any]], sheet: str = "Sheet1", captions: dict[str, str] | None = None, filtered: bool = False, marked: Callable[[tuple], set[int]] | None = None, progress: Callable[[int, int | None], None] | None = None, total: int | None = None, batch: int = 10_000) -> str:
     """Write one sheet row by row. ``captions``: a second row with a caption a column (else its name); ``filtered``: a
-    frozen header with a filter; ``marked``: the columns of a row to colour; ``progress``: called each ``batch`` rows."""
+    frozen header with a filter; ``marked``: the columns of a row to colour; ``progress``: called with the rows written and
+    ``total`` each ``batch`` rows and at the end."""
     if not path.lower().endswith(".xlsx"):
         raise RuleError("only .xlsx can be written")
     if batch <= 0:
@@ -241,19 +242,19 @@ def write_rows(path: str, header: list[str], rows: Iterable[Iterable[Any]], shee
                 line(values, marked(values) if marked else frozenset())
                 done += 1
                 if progress and done % batch == 0:
-                    progress(done)
+                    progress(done, total)
             put("</sheetData>")
             if filtered and header:
                 put(f'<autoFilter ref="A1:{_letters(len(header) - 1)}{n}"/>')
             put("</worksheet>")
             if progress:
-                progress(done)
+                progress(done, total)
     return path
 
 
-def write_xlsx(df: DataFrame, path: str, sheet: str = "Sheet1", captions: dict[str, str] | None = None, progress: Callable[[int], None] | None = None) -> str:
+def write_xlsx(df: DataFrame, path: str, sheet: str = "Sheet1", captions: dict[str, str] | None = None, progress: Callable[[int, int | None], None] | None = None, batch: int = 10_000) -> str:
     """A table as one sheet, streamed through the driver partition by partition; a sheet is one file by nature."""
-    return write_rows(path, df.columns, df.toLocalIterator(prefetchPartitions=True), sheet, captions, progress=progress)
+    return write_rows(path, df.columns, df.toLocalIterator(prefetchPartitions=True), sheet, captions, progress=progress, total=df.count() if progress else None, batch=batch)
 
 
 def write_diff(reported: DataFrame, path: str, sheet: str = "差异明细", counts: dict[str, int] | None = None) -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +25,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = "file://" + os.path.join(tempfile.gettempdir(), f"ruleframe-{context.applicationId}")
+        own = os.path.join(tempfile.gettempdir(), f"ruleframe-{context.applicationId}")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        configured = f"file://{own}"
     context.setCheckpointDir(configured)
     return configured
 

@@ -12,6 +12,9 @@ def test_sheet_round_trip(spark, tmp_path, rows):
     when = dt.datetime(2024, 5, 6, 12, 30)
     df = spark.createDataFrame([(1, "x & <y>", 1.5, True, when), (None, " 值", None, None, None), (3, None, 2.0, False, when)], "k long, t string, v double, b boolean, w timestamp_ntz")
     tables.write_table(df, at)
+    told = []
+    xlsx.write_xlsx(df, str(tmp_path / "p.xlsx"), progress=lambda n, of: told.append((n, of)), batch=2)
+    assert told == [(2, 3), (3, 3)]
     back = tables.read_table(spark, at)
     assert back.columns == df.columns and rows(back) == rows(df)
     assert [f.dataType.simpleString() for f in back.schema] == ["bigint", "string", "double", "boolean", "timestamp_ntz"]

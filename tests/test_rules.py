@@ -1,3 +1,5 @@
+from datetime import date
+
 import pytest
 
 from ruleframe.errors import RuleError
@@ -12,14 +14,15 @@ from ruleframe.queries.steps import _rule
     [
         ("n // 2", -4), ("n % 3", 2), ("n / 2", -3.5), ("-n", 7), ("round(h)", 2), ("round(1.235, 1)", 1.2), ("int(2.9)", 2), ("t[:2] + t[-1]", "heo"), ("t[1]", "e"), ("len(t)", 5), ("1 < 2 < 3", True), ("'a' if n > 0 else 'b'", "b"),
         ("max(n, 3, 1)", 3), ("sum([1, 2, n])", -4), ("abs(n)", 7), ("z or 5", 5), ("n and 3", 3), ("not z", True), ("str(3) * 2", "33"), ("'ell' in t", True), ("n in [1, -7]", True), ("e", "0"), ("float('1.5') + 1", 2.5), ("t == 1", False), ("2 ** 3", 8.0),
+        ("arrow.get(p, 'YYYYMM').shift(months=-1, days=2).format('YYYY-MM-DD')", "2023-12-03"), ("arrow.get(d).shift(quarters=1).month", 6), ("arrow.get(d) < arrow.get('2024-04-01')", True),
     ],
 )
 def test_expressions(spark, text, want):
-    df = spark.createDataFrame([(-7, 2.5, "hello", None, " ")], "n int, h double, t string, z int, e string")
+    df = spark.createDataFrame([(-7, 2.5, "hello", None, " ", "202401", date(2024, 3, 31))], "n int, h double, t string, z int, e string, p string, d date")
     assert df.select(compile_expression(df, text)[0].alias("x")).first().x == want
 
 
-@pytest.mark.parametrize("text", ["open('x')", "t.upper()", "n + t", "[x for x in t]", "nan", "lambda: 1", "q", "1 +", "t[::2]", "().__class__"])
+@pytest.mark.parametrize("text", ["open('x')", "t.upper()", "n + t", "[x for x in t]", "nan", "lambda: 1", "q", "1 +", "t[::2]", "().__class__", "arrow.utcnow()", "t.format('x')", "arrow.get(t).shift(parsecs=1)"])
 def test_refused_expressions(spark, text):
     df = spark.createDataFrame([(1, "x")], "n int, t string")
     with pytest.raises(RuleError):
