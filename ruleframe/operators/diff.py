@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +33,10 @@ def diff_rows(first: DataFrame, second: DataFrame, check_columns: list[str] | No
         raise RuleError(f"the column {source_column} is reserved")
     text = lambda df: df.select(*[F.coalesce(_as_text(df, c), F.lit("")).alias(c) for c in df.columns])
     both = union_relaxed([text(a).withColumn(source_column, F.lit("df_1")), text(second).withColumn(source_column, F.lit("df_2"))])
-    once = both.withColumn("__n", F.count("*").over(W.partitionBy(*[q(c) for c in names])))
-    return once.where("__n = 1").drop("__n")
+    # what is there once is its group's only row, so an aggregate keeps it, and repeats collapse before the exchange
+    rest = [c for c in both.columns if c not in names]
+    once = both.groupBy(*[q(c) for c in names]).agg(F.count("*").alias("__n"), F.min(F.struct(*[q(c) for c in rest])).alias("__rest")).where("__n = 1")
+    return once.select(*[F.col("__rest").getField(c).alias(c) if c in rest else q(c) for c in both.columns])
 
 
 def report(found: DataFrame, join_keys: list[str], source_column: str = "_tmp_diff_src") -> DataFrame:

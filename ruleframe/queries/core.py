@@ -107,7 +107,8 @@ def p5_rare_masks(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_divergence(spark: SparkSession, d: str) -> DataFrame:
     counts = cut(profile.mask_counts(table(spark, d, "detail"), "load_id"))
-    return profile.divergence(counts, cut(profile.previous_loads(table(spark, d, "load_log"))))
+    found = profile.divergence(counts, cut(profile.previous_loads(table(spark, d, "load_log"))))
+    return found.withColumn("divergence", F.round("divergence", 6) + 0.0)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p3_found, p3_counts, p4_found, p4_unified, p5_found, p5_profile, p5_rare_masks, p5_divergence, p6_found, p6_values)}
@@ -175,6 +176,17 @@ UNION ALL SELECT 'detail', 'median', 'amount', a.load_id, 0 FROM j WHERE a.med >
     + "".join(f" UNION ALL SELECT 'detail', 'null_share', '{c}', a.load_id, 0 FROM j WHERE round(abs(a.c_{c} / a.n - o.c_{c} / o.n), 9) >= 0.1" for c in _P5_COLUMNS)
 )
 
+_CLASSED = "regexp_replace(v, '[0-9]', chr(1), 'g')"
+for _pattern, _sign in ((r"\p{Lu}", "A"), (r"\p{Ll}", "a"), (r"[\p{Lo}\p{Lm}\p{Lt}\p{M}]", "w"), (r"\p{Nd}", "d"), (r"\x01", "9"), (r"[\p{Cf}\p{Cc}]", "?")):
+    _CLASSED = f"regexp_replace({_CLASSED}, '{_pattern}', '{_sign}', 'g')"
+_TEXT_COLUMNS = ["voucher_no", "period", "entity", "element_code", "is_base", "currency"]
+_MASKS = (
+    "WITH v AS ("
+    + " UNION ALL ".join(f"SELECT load_id, '{c}' AS column_name, {c} AS v, TRUE AS txt FROM detail" if c in _TEXT_COLUMNS else f"SELECT load_id, '{c}', CASE WHEN {c} IS NOT NULL THEN 'there' END, FALSE FROM detail" for c in ["voucher_no", *[x for x in _P5_COLUMNS if x != "voucher_no"]])
+    + f"""), m AS (SELECT load_id, column_name, CASE WHEN v IS NULL OR length(v) <= 3 OR NOT txt THEN v WHEN regexp_full_match(v, '[0-9]{{4}}(0[1-9]|1[0-2])') THEN 'yyyyMM' ELSE {_CLASSED} END AS mask FROM v),
+counts AS (SELECT load_id, column_name, mask, count(*) AS n FROM m GROUP BY ALL)"""
+)
+
 ORACLE = {
     "p1_found": _TREE
     + """, below AS (SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.d = m.d AND r.c = m.c)),
@@ -191,6 +203,15 @@ FROM r b JOIN r a ON a.d = b.d AND a.root = b.root AND (b.path = a.path OR start
     "p3_counts": _ORPHANS + " SELECT table_name, ref_month, reason, count(*) AS n_orphans FROM bad GROUP BY ALL",
     "p4_found": _P4,
     "p5_found": _P5,
+    "p5_rare_masks": _MASKS + """, c AS (SELECT column_name, mask, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY column_name) AS whole FROM counts WHERE mask IS NOT NULL GROUP BY 1, 2)
+SELECT column_name, mask, CAST(n AS BIGINT) AS n FROM c WHERE n / whole < 0.05""",
+    "p5_divergence": _MASKS + """, p AS (SELECT load_id, column_name, coalesce(mask, chr(0)) AS mask, n / sum(n) OVER (PARTITION BY load_id, column_name) AS p FROM counts),
+b AS (SELECT load_id, lag(load_id) OVER (PARTITION BY feed_code ORDER BY load_seq) AS prev FROM load_log),
+k AS (SELECT b.load_id, b.prev, column_name FROM b JOIN (SELECT DISTINCT load_id, column_name FROM p) x ON x.load_id = b.load_id WHERE prev IN (SELECT load_id FROM p)),
+u AS (SELECT k.load_id, k.column_name, mask, p, 0.0 AS q FROM k JOIN p ON p.load_id = k.load_id AND p.column_name = k.column_name
+  UNION ALL SELECT k.load_id, k.column_name, mask, 0.0, p FROM k JOIN p ON p.load_id = k.prev AND p.column_name = k.column_name),
+s AS (SELECT load_id, column_name, mask, sum(p) AS p, sum(q) AS q FROM u GROUP BY ALL)
+SELECT load_id, column_name, round(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) / 2 ELSE 0.0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) / 2 ELSE 0.0 END) + 0.0, 6) AS divergence FROM s GROUP BY ALL""",
     "p6_found": _DIFF
     + f""" SELECT voucher_no, line_no, CASE WHEN no_r THEN 'only_df_1' ELSE 'only_df_2' END AS change, '' AS field_name FROM j WHERE no_l OR no_r
 UNION ALL SELECT voucher_no, line_no, 'changed', 'amount' FROM j WHERE NOT no_l AND NOT no_r AND (l.amount IS NULL) <> (r.amount IS NULL)

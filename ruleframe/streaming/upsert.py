@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ruleframe.errors import RuleError
+from ruleframe.functions.columns import q
 
 
 def replace_partitions_stream(stream: DataFrame, path: str, partition_by: list[str], checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -26,6 +26,7 @@ def replace_partitions_stream(stream: DataFrame, path: str, partition_by: list[s
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row a key."""
-    w = W.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The last row a key; nulls in ``order`` come before all else, of equal rows any one stays."""
+    rest = [c for c in df.columns if c not in keys]
+    last = df.groupBy(*map(q, keys)).agg(F.max_by(F.struct(*map(q, rest)), F.struct(*map(q, order))).alias("__last"))
+    return last.select(*[F.col("__last").getField(c).alias(c) if c in rest else q(c) for c in df.columns])
