@@ -172,14 +172,15 @@ def changes(records: DataFrame) -> DataFrame:
     )
 
 
-def _final_names(rows: pd.DataFrame) -> pd.DataFrame:
+def _final_names(groups: pd.DataFrame) -> pd.DataFrame:
     """The last name of every renamed field, for the files in which it had an earlier one."""
-    out, live = [], {}
-    for r in rows.sort_values("file", ascending=False).itertuples(index=False):
-        final = live.pop(r.new_field, None)
-        final = final[0] if final else r.new_field
-        out.append((r.series, r.field, r.file, final))
-        live[r.field] = (final,)
+    out = []
+    for g in groups.itertuples(index=False):
+        live: dict[str, str] = {}
+        for file, field, new in zip(reversed(g.files), reversed(g.fields), reversed(g.new_fields)):
+            final = live.pop(new, new)
+            out.append((g.series, field, file, final))
+            live[field] = final
     return pd.DataFrame(out, columns=["series", "field", "until", "final"])
 
 
@@ -192,7 +193,10 @@ def unify(records: DataFrame, found: DataFrame) -> DataFrame:
     kind = records.schema
     s, f = kind["series"].dataType.simpleString(), kind["file"].dataType.simpleString()
     renames = found.where("change = 'renamed'").select("series", "file", "field", "new_field")
-    final = cut(renames.groupBy("series").applyInPandas(_final_names, f"series {s}, field string, until {f}, final string"))
+    # one row a series, with its few renames in the order of its files
+    events = renames.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("file", "field", "new_field"))).alias("e"))
+    events = events.select("series", F.col("e.file").alias("files"), F.col("e.field").alias("fields"), F.col("e.new_field").alias("new_fields"))
+    final = cut(events.mapInPandas(lambda batches: (_final_names(b) for b in batches), f"series {s}, field string, until {f}, final string"))
     files = records.select("series", "file").distinct().join(final, "series").where("file < until")
     w = W.partitionBy("series", "file", "field").orderBy("until")
     per_file = files.withColumn("nth", F.row_number().over(w)).where("nth = 1").groupBy("series", "file").agg(F.map_from_entries(F.collect_list(F.struct("field", "final"))).alias("names"))
@@ -200,4 +204,7 @@ def unify(records: DataFrame, found: DataFrame) -> DataFrame:
     entries = F.transform(F.map_entries("fields"), lambda x: F.struct(F.coalesce(F.try_element_at("names", x["key"]), x["key"]).alias("key"), x["value"]["text"].alias("value")))
     # two fields under one name in one file: the later entry's value, as in the record
     folded = F.aggregate(entries, F.create_map().cast("map<string, string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["key"]), F.map_from_arrays(F.array(x["key"]), F.array(x["value"]))))
-    return named.select("series", "file", "rec", F.coalesce(folded, F.create_map().cast("map<string, string>")).alias("fields"))
+    plain = F.transform_values("fields", lambda _, v: v["text"])
+    clash = F.size(F.array_distinct(F.transform(entries, lambda x: x["key"]))) < F.size(entries)
+    fields = F.when(F.col("names").isNull(), plain).when(clash, folded).otherwise(F.map_from_entries(entries))
+    return named.select("series", "file", "rec", F.coalesce(fields, F.create_map().cast("map<string, string>")).alias("fields"))

@@ -62,3 +62,11 @@ def test_series_of_two_parts(spark):
     found = drift.changes(records)
     assert sorted((tuple(x.series), x.field, x.new_field) for x in found.collect()) == [(("t", "a"), "net_amount", "NetAmount"), (("t", "a"), "tax_code", "taxCode")]
     assert {tuple(sorted(x.fields)) for x in drift.unify(records, found).collect()} == {("NetAmount", "taxCode")}
+
+
+def test_two_fields_under_one_name(spark):
+    data = [row(1, 1, {"a": 1, "b": 2}), row(2, 1, {"b": 1}), row(3, 1, {"b": 1})]
+    records = drift.parse(spark.createDataFrame(data, S), "s", "f", "r", "j", "at")
+    renames = spark.createDataFrame([("a", 2, "a", "renamed", "b")], "series string, file int, field string, change string, new_field string")
+    found = {x.file: x.fields for x in drift.unify(records, renames).collect()}
+    assert found[1] in ({"b": "1"}, {"b": "2"}) and found[2] == {"b": "1"}
