@@ -38,8 +38,8 @@ def mask(value: Column) -> Column:
     """
     plain = F.translate(value, _UPPER + _LOWER + _DIGIT, "A" * 26 + "a" * 26 + "9" * 10)
     wide = plain
-    for pattern, sign in ((r"\p{Lu}", "A"), (r"\p{Ll}", "a"), (r"[\p{L}\p{M}]", "w"), (r"[\p{Nd}&&[^0-9]]", "d"), (r"[\p{Cf}\p{Cc}]", "?")):
-        wide = F.regexp_replace(wide, pattern if sign != "w" else r"[\p{Lo}\p{Lm}\p{Lt}\p{M}]", sign)
+    for pattern, sign in ((r"\p{Lu}", "A"), (r"\p{Ll}", "a"), (r"[\p{Lo}\p{Lm}\p{Lt}\p{M}]", "w"), (r"[\p{Nd}&&[^0-9]]", "d"), (r"[\p{Cf}\p{Cc}]", "?")):
+        wide = F.regexp_replace(wide, pattern, sign)
     classed = F.when(value.rlike(r"^[ -~]*$"), plain).otherwise(wide)
     return (
         F.when(value.isNull(), F.lit(None).cast("string"))
@@ -122,7 +122,7 @@ def group_medians(df: DataFrame, group: str, value: str) -> DataFrame:
             whole = counts.withColumn("all", F.sum("n").over(W.partitionBy("grp")))
             whole = whole.withColumn("rank", F.explode(F.array_distinct(F.array(F.expr("(all + 1) div 2"), F.expr("all div 2 + 1")))))
         else:
-            whole = counts.join(wanted.select("grp", "p", F.col("k").alias("k0"), "rank", F.col("inside").alias("at")), (counts["grp"] == wanted["grp"]) & (counts["p"] == wanted["p"]) & (F.expr(f"k div {1000}") == F.col("k0"))).select(counts["grp"], counts["p"], counts["k"], "n", "least", "rank", "at")
+            whole = counts.join(wanted.select("grp", "p", F.col("k").alias("k0"), "rank", F.col("inside").alias("at")), (counts["grp"] == wanted["grp"]) & (counts["p"] == wanted["p"]) & (F.expr("k div 1000") == F.col("k0"))).select(counts["grp"], counts["p"], counts["k"], "n", "least", "rank", "at")
         sofar = F.sum("n").over(W.partitionBy("grp", "rank").orderBy("p", "k").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
         goal = F.col("rank") if wanted is None else F.col("at")
         picked = whole.withColumn("before", sofar).withColumn("goal", goal).where("before < goal and goal <= before + n")

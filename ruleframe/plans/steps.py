@@ -9,7 +9,6 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ruleframe.errors import RuleError
 from ruleframe.operators import diff, joins, quality, table, unify
