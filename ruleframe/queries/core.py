@@ -54,9 +54,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_values(spark: SparkSession, d: str) -> DataFrame:
+    """Both values of each differing text field; ``p6_all_values`` has those of every field."""
     return _ledgers(spark, d).where("change = 'changed' and field_name not in ('amount', 'posted_on')")
 
 
+def p6_all_values(spark: SparkSession, d: str) -> DataFrame:
+    """Both values of each differing field, amounts and dates too, as Spark writes them as text.
+
+    DuckDB writes doubles differently, so there is no SQL; the tests compare with brute force.
+    """
+    return _ledgers(spark, d).where("change = 'changed'")
+
+
 def _books(spark: SparkSession, d: str) -> DataFrame:
     """The records of all schedule books and of all sheets; a series is told by its table and its name."""
     steps = table(spark, d, "schedule").select(F.struct(F.lit("schedule").alias("t"), F.concat_ws("|", "book_code", "function").alias("s")).alias("series"), "file_no", F.col("step_order").cast("double").alias("rec"), F.col("params").alias("json"), "loaded_at")
@@ -111,7 +120,7 @@ def p5_divergence(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("divergence", F.round("divergence", 6) + 0.0)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p3_found, p3_counts, p4_found, p4_unified, p5_found, p5_profile, p5_rare_masks, p5_divergence, p6_found, p6_values)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p3_found, p3_counts, p4_found, p4_unified, p5_found, p5_profile, p5_rare_masks, p5_divergence, p6_found, p6_values, p6_all_values)}
 
 _TREE = """WITH RECURSIVE m AS (
   SELECT dimension AS d, element_code AS c, min(CASE WHEN trim(parent) <> '' THEN parent END) AS p FROM metadata

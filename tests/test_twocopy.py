@@ -1,4 +1,5 @@
 from ruleframe.operators import twocopy
+from ruleframe.queries import core
 
 S = "k string, n int, amount double, memo string, l string, r string"
 
@@ -17,3 +18,14 @@ def test_equal_and_empty(spark):
     assert twocopy.compare(a, a, ["k", "n"], tolerance={"amount": 1.0}).count() == 0
     assert twocopy.compare(a.limit(0), a.limit(0), ["k", "n"]).count() == 0
     assert twocopy.compare(a, a.limit(0), ["k", "n"]).first()["change"] == "only_df_1"
+
+
+def test_values_of_every_field(spark):
+    sides = {"df_1": {}, "df_2": {}}
+    for r in spark.read.parquet("/root/testdata/sf0.001/df_diff.parquet").distinct().collect():
+        sides[r._tmp_diff_src][r.voucher_no, r.line_no] = r
+    far = lambda f, x, y: (x is None) != (y is None) or (x is not None and abs(x - y) >= 0.005) if f == "amount" else x != y if f == "posted_on" else (x or "") != (y or "")
+    want = {(*k, f, str(a[f]) if a[f] is not None else None, str(b[f]) if b[f] is not None else None) for k, a in sides["df_1"].items() if (b := sides["df_2"].get(k)) for f in core.LEDGER_FIELDS if far(f, a[f], b[f])}
+    found = core.p6_all_values(spark, "/root/testdata/sf0.001").collect()
+    assert {(r.voucher_no, r.line_no, r.field_name, r.left_value, r.right_value) for r in found} == want and len(found) == len(want)
+    assert {"amount", "posted_on"} <= {r.field_name for r in found}
