@@ -441,6 +441,39 @@ def map_table_rules(spark: SparkSession, d: str) -> DataFrame:
     return mapping.mapping_1t(table(spark, d, "detail").select("detail_id", "entity"), rules).select("detail_id", "map_trc_report_line")
 
 
+#: What an empty condition is compared as: the reference matches an empty value with an empty one.
+_NOTHING = "∅"
+
+
+def _layer_rules(spark: SparkSession, d: str) -> list[dict]:
+    """All rules of ``mapping_1t``, made valid: an empty condition holds where the value is empty too, and rules of one
+    priority go by ``rule_id``, each with a priority of its own, whatever their conditions."""
+    return [
+        r.asDict()
+        for r in query(ship(spark), f"""SELECT order_execution, row_number() OVER (PARTITION BY order_execution ORDER BY priority, rule_id) AS priority, mapping_code, keep_row,
+      '__' || source_field_1 AS source_field_1, CASE WHEN source_field_1 IS NOT NULL THEN coalesce(nullif(source_code_1, ''), '{_NOTHING}') END AS source_code_1,
+      '__' || source_field_2 AS source_field_2, CASE WHEN source_field_2 IS NOT NULL THEN coalesce(nullif(source_code_2, ''), '{_NOTHING}') END AS source_code_2, output_field_1, output_code_1
+      FROM read_parquet('{d}/mapping_1t.parquet') ORDER BY rule_id""").collect()
+    ]
+
+
+@_register()
+def map_table_layers(spark: SparkSession, d: str) -> DataFrame:
+    """``mapping_1t`` as a whole on ``detail``: all orders, conditions, priorities, outputs and keep flags.
+
+    Rows no rule of an order hits come with that order as ``miss_order_execution`` and what earlier orders gave them;
+    rows that are not to be kept don't come. Periods shorter than four characters are filled up with '-', so that
+    ``var{period}->reg{^(....)}`` finds something.
+    """
+    rows = table(spark, d, "detail").select(
+        "detail_id", "entity", F.when(F.length("period") >= 4, F.col("period")).otherwise(F.rpad(F.coalesce("period", F.lit("")), 4, "-")).alias("period"),
+        *[F.when(F.coalesce(c, F.lit("")) == "", _NOTHING).otherwise(F.col(c)).alias(f"__{c}") for c in ("entity", "element_code")],
+    )
+    done = mapping.map_table(rows, _layer_rules(spark, d))
+    kept = done.result.withColumn("miss_order_execution", F.lit(None).cast("double"))
+    return unify.union_relaxed([kept, done.missed]).select("detail_id", "report_line", "map_trc_report_line", "miss_order_execution")
+
+
 # ---- SQL
 
 

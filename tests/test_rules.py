@@ -1,3 +1,4 @@
+import re
 from datetime import date
 
 import pytest
@@ -6,6 +7,7 @@ from ruleframe.errors import RuleError
 from ruleframe.operators import diff, joins, quality
 from ruleframe.plans import allocation, mapping
 from ruleframe.plans.expressions import compile_expression
+from ruleframe.queries import steps
 from ruleframe.queries.steps import _rule
 
 
@@ -132,3 +134,32 @@ def test_member_checks(spark, rows):
     data = spark.createDataFrame([(1, "b"), (2, "top"), (3, " "), (4, "reg{x}"), (5, None)], "k int, d string")
     found = quality.check_members(data, meta)
     assert rows(found.select("k", "CHECK_DIMENSION", "REASON")) == sorted([(2, "d", "not a base member"), (3, "d", "value is blank"), (5, "d", "value is blank"), (None, "e", "the data have no such column")], key=repr)
+
+
+def test_whole_rule_table(spark):
+    """``map_table_layers`` against the rules applied row by row."""
+    d = "/root/testdata/sf0.001"
+    rules = {}
+    for r in sorted(spark.read.parquet(f"{d}/mapping_1t.parquet").collect(), key=lambda r: (r.order_execution, r.priority, r.rule_id)):
+        rules.setdefault(r.order_execution, []).append(r)
+    fits = lambda code, v: re.search(code[4:-1], v or "") is not None if (code or "").startswith("reg{") else (code or "") == (v or "")
+    assert len(rules) > 1 and {True, False} == {r.source_field_2 is None for r in rules[10]} and any((r.source_code_2 or "").startswith("reg{") for r in rules[10])
+    want = []
+    for row in spark.read.parquet(f"{d}/detail.parquet").collect():
+        line, trace, missed = None, None, None
+        for order, some in rules.items():
+            hits = [r for r in some if fits(r.source_code_1, row.entity) and (r.source_field_2 is None or fits(r.source_code_2, row.element_code))]
+            if not hits:
+                missed = float(order)
+                break
+            line = ([None, *[r.output_code_1 for r in hits if r.output_code_1]])[-1]
+            line = row.entity if line == "var{entity}" else (row.period or "").ljust(4, "-")[:4] if line and line.startswith("var{period}") else line
+            trace = "->".join(r.mapping_code for r in hits)
+            if hits[-1].keep_row != "是":
+                break
+        else:
+            hits = [True]
+        if missed is not None or hits == [True]:
+            want.append((row.detail_id, line, trace, missed))
+    found = sorted(tuple(r) for r in steps.map_table_layers(spark, d).collect())
+    assert found == sorted(want) and any(r[1] for r in found)
