@@ -8,13 +8,13 @@ with bracket delimiters are looked for first). Three grammars read it:
 * notices: sentences that begin like an error page or a request for scripts and go on like one.
 
 Speech about such things differs by context: the phrase stands inside a sentence that has a narrator, a speech verb or
-an address, or inside a quotation. Placeholders in a text that is mostly code or explains templates are discounted by
-their density.
+an address, or inside a quotation. A placeholder is discounted in code, and in a sentence that explains templates.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -124,6 +124,8 @@ _QUOTED = re.compile(r"“[^”]{0,400}”|„[^“”]{0,400}[“”]|\"[^\"\n]
 _CODE = re.compile(r"(?s)```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<(pre|code)\b.*?</\1>")
 _BRACKETS = re.compile(r"\((?!most recent)[^()]{0,200}\)|\[[^\[\]]{0,200}\]")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
+#: Around placeholders: 'e.g.' ends no sentence, nor does a line break after a colon.
+_FIELD_SENTENCE = re.compile(r"(?<=[.!?…])(?<!e\.g\.)(?<!E\.g\.)\s+|(?<![:\n])\n+")
 _DIDACTIC = re.compile(r"(?i)\b(?:for example|e\.g\.|such as|syntax|tutorial|template engine|placeholders? (?:like|such|look)|you can (?:write|use)|zum Beispiel|par exemple|Beispiel(?:e)?:)")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -173,18 +175,27 @@ def _with_tails(sentence: str) -> list[str]:
     return out
 
 
+def _left_over_field(spoken: str) -> bool:
+    """Whether there is a placeholder outside the sentences that explain placeholders."""
+    stops = None
+    for m in PLACEHOLDERS.finditer(spoken):
+        if stops is None:
+            stops = [s.span() for s in _FIELD_SENTENCE.finditer(spoken)]
+        at, rest = bisect_right(stops, (m.start(), len(spoken))), bisect_left(stops, (m.end(), 0))
+        begin = stops[at - 1][1] if at else 0
+        if not _DIDACTIC.search(spoken, begin, stops[rest][0] if rest < len(stops) else len(spoken)):
+            return True
+    return False
+
+
 def kinds(text: str) -> list[str]:
     """What residue a text holds: ``placeholder``, ``filler``, ``notice``; empty if none."""
     found = []
     plain = _CODE.sub(" ", text) if "```" in text or "~~~" in text or "</" in text else text
     spoken = _QUOTED.sub(" ", plain)
     if "[" in text or "XXX" in text or not _FIELD_SIGNS.isdisjoint(text):
-        fields = len(PLACEHOLDERS.findall(spoken))
-        if fields:
-            in_code = len(PLACEHOLDERS.findall(text)) - len(PLACEHOLDERS.findall(plain))
-            explained = len(_DIDACTIC.findall(spoken))
-            if fields > in_code and not (explained and explained >= fields):
-                found.append("placeholder")
+        if _left_over_field(spoken):
+            found.append("placeholder")
     # bracketed remarks are the reporter's; what they hold is no case
     filler = notice = False
     for sentence in _SENTENCE.split(_INTERJECTION.sub(" ", _BRACKETS.sub(" ", spoken))):

@@ -31,3 +31,13 @@ def test_frame(spark, rows):
     df = spark.createDataFrame([(1, "404 Not Found", 0), (1, "404 Not Found", 0), (2, None, 0), (3, "", 0), (4, "Fine words. " * 50_000 + "{{ x_y }}", 0), (None, "404 Not Found", 0)], "doc_id long, text string, kinds int")
     assert rows(residue.find_residue(df)) == [(1, ["notice"]), (1, ["notice"]), (4, ["placeholder"])]
     assert residue.find_residue(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["The Member for {{member_name}} rose. We need rail, such as the coast line.", "```\n{{ name }}\n```\nI thank {{ member_name }} for it.", "For example, {{ a }} marks a name. The [[PARTY]] objects.", "Par exemple, le rail.\nI met ${speaker.name} today."])
+def test_fields_beside_explanations(text):
+    assert kinds(text) == ["placeholder"]
+
+
+@pytest.mark.parametrize("text", ["For example, {{ name }} marks the name.", "Marks are set by hand, e.g. {{ name }} or {{ party }} in a letter.", "Beispiel:\n{{ name }}", "We print placeholders like [[PARTY]] there. Rail is late."])
+def test_explained_fields(text):
+    assert kinds(text) == []
