@@ -105,7 +105,6 @@ _NOTICE = re.compile(
     | incident\ [\d-]+ {_END}
     ) """
 )
-_STATUS_LINE = re.compile(r"(?i)^(?:[\w.'’-]+\s+){0,4}?(?:[45]\d\d\b|incident\b|proxy/)")
 _SCRIPT_WORD = re.compile(r"(?i)\b(?:java\s?script|no-?script|scripts?|scripting|active content|browser|navigateur|cookies?|aktive inhalte)\b")
 _SCRIPT_HEAD = re.compile(
     r"""(?ix) ^ (?: please | kindly | bitte | veuillez | merci\ (?:de|d') | turn\ (?:on|them) | switch\ on | enable | activate | allow | aktivieren\ sie | activez
@@ -134,15 +133,6 @@ _INTERJECTION = re.compile(r"[–—]\s[^–—\n]{1,40}!\s[–—]")
 #: Where a new sentence begins without a stop before it.
 _RUN_ON = re.compile(r"(?<=[a-zß-ÿ]) (?=(?:I|[A-ZÀ-Þ][a-zß-ÿ’']+,?) [a-z])")
 _FIELD_SIGNS = frozenset("{%@$#<«&_")
-#: A sentence without any of these words, and with as many words as different ones, is neither notice nor filler.
-_GATE = frozenset(
-    (
-        "script scripts scripting javascript noscript browser navigateur cookie cookies content inhalte error fehler erreur gateway forbidden found gefunden introuvable trouvée denied verweigert refusé interdit unavailable indisponible"
-        " out timed traceback nginx apache cloudflare proxy incident wrong sorry oops leider désolé expired log reload moved longer permission requested demandé demandée gewünschte angeforderte asked requests server connection condition unexpected"
-        " address vorhanden verfügbar link loading contact administrator return busy gone unauthorized page seite"
-        " text texte copy blindtext fülltext platzhaltertext mustertext factice tbc tbd tba tk speech transcript follow here folgt blah bla"
-    ).split()
-) | (_LATIN - frozenset("do sed et ut ad ex ea in eu non id est sit sint qui anim duis".split()))
 
 
 def _is_filler(sentence: str, ws: list[str]) -> bool:
@@ -200,8 +190,6 @@ def kinds(text: str) -> list[str]:
     filler = notice = False
     for sentence in _SENTENCE.split(_INTERJECTION.sub(" ", _BRACKETS.sub(" ", spoken))):
         ws = _LETTERS.findall(sentence.lower())
-        if _GATE.isdisjoint(ws) and len(set(ws)) > 0.5 * len(ws) and not any(w.startswith("xxx") for w in ws) and not (_STATUS_LINE.match(sentence.strip())):
-            continue
         for k, tail in enumerate(_with_tails(sentence)):
             filler = filler or _is_filler(tail, ws[k:] if k else ws)
             notice = notice or _reads_like_notice(tail)

@@ -41,3 +41,8 @@ def test_fields_beside_explanations(text):
 @pytest.mark.parametrize("text", ["For example, {{ name }} marks the name.", "Marks are set by hand, e.g. {{ name }} or {{ party }} in a letter.", "Beispiel:\n{{ name }}", "We print placeholders like [[PARTY]] there. Rail is late."])
 def test_explained_fields(text):
     assert kinds(text) == []
+
+
+@pytest.mark.parametrize("text", ["Serverfehler.", "Rede wird nachgereicht.", "Wortlaut wird nachgereicht.", "This document does not exist.", "This document is not available.", "The record you are looking for could not be shown."])
+def test_every_sentence_meets_the_grammars(text):
+    assert kinds(text) and kinds(f"I thank the House for its patience.\n{text}")
