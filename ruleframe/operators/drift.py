@@ -37,17 +37,15 @@ def parse(rows: DataFrame, series: str, file: str, record_key: str, record: str,
     ``fields`` maps names to (``kind``, ``text``), null values with a null kind. Of records sent twice the one that
     arrived last holds. ``seen_before`` and ``seen_after`` are the nearest other files of the series with that record.
     Text that is no JSON object gives a record without fields; records without a series or file are left out; those
-    without a key are never compared.
+    without a key are all kept, sent twice or not, and never compared; their fields count as present in their file.
     """
     last = F.struct(F.col(arrived) if arrived else F.lit(0), F.col(record))
-    one = (
-        rows.select(F.col(series).alias("series"), F.col(file).alias("file"), F.col(record_key).alias("rec"), F.col(record).alias("json"), last.alias("last"))
-        .where("series is not null and file is not null")
-        .groupBy("series", "rec", "file")
-        .agg(F.max_by("json", "last").alias("json"))
-    )
+    live = rows.select(F.col(series).alias("series"), F.col(file).alias("file"), F.col(record_key).alias("rec"), F.col(record).alias("json"), last.alias("last")).where("series is not null and file is not null")
+    one = live.where("rec is not null").groupBy("series", "rec", "file").agg(F.max_by("json", "last").alias("json"))
     w = W.partitionBy("series", "rec").orderBy("file")
-    seen = one.withColumns({"seen_before": F.when(F.col("rec").isNotNull(), F.lag("file").over(w)), "seen_after": F.when(F.col("rec").isNotNull(), F.lead("file").over(w))})
+    keyed = one.withColumns({"seen_before": F.lag("file").over(w), "seen_after": F.lead("file").over(w)})
+    never = F.lit(None).cast(live.schema["file"].dataType)
+    seen = keyed.unionByName(live.where("rec is null").drop("last").withColumns({"seen_before": never, "seen_after": never}))
     fields = F.from_json("json", "map<string, variant>")
     typed = F.transform_values(fields, lambda _, v: F.struct(_type(v).alias("kind"), F.to_json(v).alias("text")))
     return seen.select("series", "file", "rec", "seen_before", "seen_after", typed.alias("fields"))

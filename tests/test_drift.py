@@ -70,3 +70,11 @@ def test_two_fields_under_one_name(spark):
     renames = spark.createDataFrame([("a", 2, "a", "renamed", "b")], "series string, file int, field string, change string, new_field string")
     found = {x.file: x.fields for x in drift.unify(records, renames).collect()}
     assert found[1] in ({"b": "1"}, {"b": "2"}) and found[2] == {"b": "1"}
+
+
+def test_records_without_key_are_kept(spark):
+    data = [row(1, None, {"a": 1}, at=1), row(1, None, {"b": 2}, at=2), row(1, None, {"b": 2}, at=2), row(1, 1, {"c": 3}), row(2, None, {"b": 2}, at=3), row(2, None, {"a": 1}, at=4), row(2, 1, {"c": 3})]
+    assert changes(spark, data) == []
+    records = drift.parse(spark.createDataFrame(data, S), "s", "f", "r", "j", "at")
+    found = sorted((x.file, x.rec or 0, *x.fields.items()) for x in drift.unify(records, drift.changes(records)).collect())
+    assert found == [(1, 0, ("a", "1")), (1, 0, ("b", "2")), (1, 0, ("b", "2")), (1, 1, ("c", "3")), (2, 0, ("a", "1")), (2, 0, ("b", "2")), (2, 1, ("c", "3"))]
