@@ -8,6 +8,8 @@ at most 900 groups a load and power of ten, and no pass gathers the values of a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -187,18 +189,43 @@ def divergence(counts: DataFrame, before: DataFrame) -> DataFrame:
     return both.groupBy(F.col("grp").alias("load_id"), "column_name").agg(F.sum(part("p") + part("q")).alias("divergence"))
 
 
-def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row a column: rows, nulls, null rate, approximate distinct values (2 % error), least and greatest value as text,
-    number of masks, dominant masks and the rows with a rare one."""
-    columns = df.columns if columns is None else columns
+def distinct_counts(df: DataFrame, columns: list[str], group: str | None = None) -> DataFrame:
+    """(``grp``, ``column_name``, ``n_distinct``): the exact number of different non-null values, by group.
+
+    Two stages a column, so no task holds the values of a group.
+    """
+    g = F.col(group) if group else F.lit(0)
+    values = [df.select(g.alias("grp"), F.col(c).alias("value")).where("value is not null").distinct().groupBy("grp").agg(F.count("*").alias("n_distinct")) for c in columns]
+    return reduce(DataFrame.unionByName, [v.select("grp", F.lit(c).alias("column_name"), "n_distinct") for c, v in zip(columns, values)])
+
+
+def profile(df: DataFrame, columns: list[str] | None = None, group: str | None = None) -> DataFrame:
+    """One row a column, and a group if one is given: rows, nulls, null rate, exact number of distinct values, least and
+    greatest value as text, number of masks, dominant masks and the rows with a rare one.
+
+    With ``group`` the result has ``grp`` (null is a group too). Masks are dominant or not in the whole column, so a
+    group of nothing but malformed values shows them as rare; ``dominant_masks`` has those that the group holds.
+    ``distinct_about`` is the same number as ``n_distinct`` under its earlier name.
+    """
+    columns = [c for c in df.columns if c != group] if columns is None else columns
     aggs = []
     for k, c in enumerate(columns):
         x = F.col(c)
-        aggs += [F.count(x).alias(f"n{k}"), F.approx_count_distinct(x, 0.02).alias(f"d{k}"), F.min(x).cast("string").alias(f"lo{k}"), F.max(x).cast("string").alias(f"hi{k}")]
-    one = df.agg(F.count("*").alias("rows"), *aggs)
-    cells = [F.struct(F.lit(c).alias("column_name"), F.col("rows").alias("n_rows"), (F.col("rows") - F.col(f"n{k}")).alias("n_nulls"), F.try_divide(F.col("rows") - F.col(f"n{k}"), F.col("rows")).alias("null_rate"), F.col(f"d{k}").alias("distinct_about"), F.col(f"lo{k}").alias("least"), F.col(f"hi{k}").alias("greatest")) for k, c in enumerate(columns)]
-    stats = one.select(F.inline(F.array(*cells)))
-    counts = cut(mask_counts(df, None, columns)).where("mask is not null")
-    top = dominant_masks(counts).groupBy("column_name").agg(F.array_sort(F.collect_list("mask")).alias("dominant_masks"), F.sum("n").alias("in_dominant"))
-    masks = counts.groupBy("column_name").agg(F.count("*").alias("n_masks"))
-    return stats.join(masks, "column_name", "left").join(top, "column_name", "left").withColumn("rare_rows", F.col("n_rows") - F.col("n_nulls") - F.coalesce("in_dominant", F.lit(0))).drop("in_dominant")
+        aggs += [F.count(x).alias(f"n{k}"), F.min(x).cast("string").alias(f"lo{k}"), F.max(x).cast("string").alias(f"hi{k}")]
+    aggs = [F.count("*").alias("rows"), *aggs]
+    one = df.groupBy(F.col(group).alias("grp")).agg(*aggs) if group else df.agg(*aggs).withColumn("grp", F.lit(0))
+    cells = [F.struct(F.lit(c).alias("column_name"), F.col("rows").alias("n_rows"), (F.col("rows") - F.col(f"n{k}")).alias("n_nulls"), F.col(f"lo{k}").alias("least"), F.col(f"hi{k}").alias("greatest")) for k, c in enumerate(columns)]
+    stats = one.select("grp", F.inline(F.array(*cells)))
+    counts = cut(mask_counts(df, group, columns)).where("mask is not null")
+    dominant = dominant_masks(counts).select("column_name", "mask", F.lit(True).alias("top"))
+    found = counts.join(dominant, ["column_name", "mask"], "left")
+    masks = found.groupBy("grp", "column_name").agg(F.count("*").alias("n_masks"), F.array_sort(F.collect_list(F.when(F.col("top"), F.col("mask")))).alias("dominant_masks"), F.sum(F.when(F.col("top"), F.col("n"))).alias("in_dominant"))
+    # united and folded, not joined: a null group meets itself
+    parts = stats.unionByName(distinct_counts(df, columns, group), True).unionByName(masks, True)
+    names = ["n_rows", "n_nulls", "n_distinct", "least", "greatest", "n_masks", "dominant_masks", "in_dominant"]
+    whole = parts.groupBy("grp", "column_name").agg(*[F.max(c).alias(c) for c in names])
+    none = F.coalesce("n_distinct", F.lit(0).cast("long"))
+    return whole.select(
+        *(["grp"] if group else []), "column_name", "n_rows", "n_nulls", F.try_divide("n_nulls", "n_rows").alias("null_rate"), none.alias("n_distinct"), none.alias("distinct_about"), "least", "greatest", "n_masks",
+        F.when(F.size("dominant_masks") > 0, F.col("dominant_masks")).alias("dominant_masks"), (F.col("n_rows") - F.col("n_nulls") - F.coalesce("in_dominant", F.lit(0))).alias("rare_rows"),
+    )

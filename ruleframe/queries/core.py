@@ -103,9 +103,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
-    named = [(n, table(spark, d, n)) for n in ("detail", "metadata")]
-    first, second = [profile.profile(t).withColumn("table_name", F.lit(n)) for n, t in named]
-    return first.unionByName(second)
+    """Each column of ``detail`` by load (``scope`` ``load``), and of ``detail`` and ``metadata`` as a whole (``scope`` ``table``, ``load_id`` null)."""
+    detail, members = table(spark, d, "detail"), table(spark, d, "metadata")
+    loads = profile.profile(detail, group="load_id").withColumnRenamed("grp", "load_id").withColumns({"table_name": F.lit("detail"), "scope": F.lit("load")})
+    for name, whole in (("detail", detail), ("metadata", members)):
+        loads = loads.unionByName(profile.profile(whole).withColumns({"table_name": F.lit(name), "scope": F.lit("table"), "load_id": F.lit(None).cast("int")}))
+    return loads
 
 
 def p5_rare_masks(spark: SparkSession, d: str) -> DataFrame:

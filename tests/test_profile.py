@@ -46,3 +46,17 @@ def test_violations_and_profile(spark, rows):
     assert stats["period"].n_nulls == 1 and stats["period"].least == "202301" and stats["grp"].distinct_about == 1
     assert profile.profile(df.limit(0)).where("column_name = 'period'").first().n_rows == 0
     assert profile.accepted_masks(profile.mask_counts(df, None, ["period"]), share=0.5) == {"period": ["yyyyMM"]}
+
+
+def test_profile_by_group(spark):
+    data = [(1, k, f"{k % 700:06d}", 0.0 if k % 2 else -0.0) for k in range(5000)] + [(2, k % 30, "A-1", None) for k in range(60)] + [(None, 7, None, float("nan")), (None, 8, None, 1.0)]
+    df = spark.createDataFrame(data, "load_id int, n int, code string, v double")
+    got = {(r.grp, r.column_name): r for r in profile.profile(df, group="load_id").collect()}
+    assert {k: (r.n_rows, r.n_nulls, r.n_distinct, r.least, r.greatest) for k, r in got.items()} == {
+        (1, "n"): (5000, 0, 5000, "0", "4999"), (1, "code"): (5000, 0, 700, "000000", "000699"), (1, "v"): (5000, 0, 1, got[1, "v"].least, got[1, "v"].greatest),
+        (2, "n"): (60, 0, 30, "0", "29"), (2, "code"): (60, 0, 1, "A-1", "A-1"), (2, "v"): (60, 60, 0, None, None),
+        (None, "n"): (2, 0, 2, "7", "8"), (None, "code"): (2, 2, 0, None, None), (None, "v"): (2, 0, 2, "1.0", "NaN"),
+    }
+    assert got[2, "code"].rare_rows == 60 and got[2, "code"].dominant_masks is None and got[1, "code"].rare_rows == 0
+    whole = {r.column_name: r for r in profile.profile(df).collect()}
+    assert whole["n"].n_distinct == 5000 and whole["load_id"].n_nulls == 2 and whole["code"].rare_rows == 60
