@@ -26,13 +26,13 @@ class Store:
     reuse: bool = False
 
     def read(self, path: str, sheet: str | None = None) -> DataFrame:
-        key = os.path.abspath(path)
+        key = tables.qualified(self.spark, path)
         return self.made[key] if self.reuse and key in self.made else tables.read_table(self.spark, path, sheet)
 
     def write(self, df: DataFrame, path: str, captions: dict[str, str] | None = None, verify: Callable[[], None] | None = None, sheet: str | None = None) -> str:
         tables.write_table(df, path, sheet, captions, verify)
         if self.reuse and not path.lower().endswith(".xlsx"):
-            self.made[os.path.abspath(path)] = tables.read_table(self.spark, path)
+            self.made[tables.qualified(self.spark, path)] = tables.read_table(self.spark, path)
         return path
 
 
@@ -92,7 +92,7 @@ def concat(store: Store, input_file_paths: list[str], output_file_path: str, inp
 
 @step
 def append_with_overwrite(store: Store, database_file_path: str, upload_file_path: str, overwrite_conditions: dict | str, database_sheet_name: str | None = None, upload_sheet_name: str | None = None) -> str:
-    database = store.read(database_file_path, database_sheet_name) if os.path.exists(database_file_path) else None
+    database = store.read(database_file_path, database_sheet_name) if tables.exists(store.spark, database_file_path) else None
     return store.write(unify.replace_partition(database, store.read(upload_file_path, upload_sheet_name), overwrite_conditions), database_file_path, sheet=database_sheet_name)
 
 

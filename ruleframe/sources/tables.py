@@ -22,7 +22,7 @@ def _suffix(path: str) -> str:
 def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """``.xlsx`` and ``.xlsm`` sheets, ``.parquet`` files and directories; Parquet takes no sheet name."""
     if _suffix(path) in (".xlsx", ".xlsm"):
-        return read_xlsx(spark, path, sheet)
+        return read_xlsx(spark, local(spark, path), sheet)
     if _suffix(path) == ".parquet":
         if sheet is not None:
             raise RuleError("Parquet has no sheets")
@@ -36,6 +36,26 @@ def _paths(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm.org.apache.hadoop.fs.Path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at ``path``, as the path's own file system knows it (``file:``, ``hdfs:``, ``s3a:``, ...)."""
+    fs, p, _ = _paths(spark, path)
+    return fs.exists(p)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system and folder: one name for one place, however it is written."""
+    fs, p, _ = _paths(spark, path)
+    return fs.makeQualified(p).toString()
+
+
+def local(spark: SparkSession, path: str) -> str:
+    """The path of a sheet as the driver's own file system knows it; sheets are single files beside the driver."""
+    scheme = re.match(r"(\w+):", path)
+    if scheme and scheme.group(1).lower() != "file" and len(scheme.group(1)) > 1:
+        raise RuleError(f"sheets are read and written as local files, not at {path!r}")
+    return _paths(spark, path)[1].toUri().getPath() if scheme else path
+
+
 def write_table(df: DataFrame, path: str, sheet: str | None = None, captions: dict[str, str] | None = None, verify: Callable[[], None] | None = None) -> str:
     """Write a table over what is there and return the path.
 
@@ -43,6 +63,7 @@ def write_table(df: DataFrame, path: str, sheet: str | None = None, captions: di
     directory takes the place of the old one. So a table may be written over one of its own inputs.
     """
     if _suffix(path) == ".xlsx":
+        path = local(df.sparkSession, path)
         os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
         staged = os.path.join(os.path.dirname(os.path.abspath(path)), f".{uuid.uuid4().hex}.xlsx")
         try:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 
@@ -23,7 +24,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     if configured is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):  # one process; local-cluster has several
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = os.path.join(tempfile.gettempdir(), f"ruleframe-{context.applicationId}")
         atexit.register(shutil.rmtree, own, ignore_errors=True)

@@ -20,6 +20,24 @@ def test_sheet_round_trip(spark, tmp_path, rows):
     assert [f.dataType.simpleString() for f in back.schema] == ["bigint", "string", "double", "boolean", "timestamp_ntz"]
 
 
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_stored_rows_of_other_partitions_survive(spark, tmp_path, rows, scheme):
+    at = lambda n: f"{scheme}{tmp_path}/{n}.parquet"
+    spark.createDataFrame([("a", k) for k in range(100)] + [("b", 7)], "g string, v int").write.parquet(at("stored"))
+    spark.createDataFrame([("b", 8), ("b", 9)], "g string, v int").write.parquet(at("upload"))
+    run_step(spark, "append_with_overwrite", {"database_file_path": at("stored"), "upload_file_path": at("upload"), "overwrite_conditions": {"g": "b"}})
+    assert rows(spark.read.parquet(at("stored"))) == sorted([("a", k) for k in range(100)] + [("b", 8), ("b", 9)], key=repr)
+    run_step(spark, "append_with_overwrite", {"database_file_path": at("new"), "upload_file_path": at("upload"), "overwrite_conditions": {"g": "b"}})
+    assert rows(spark.read.parquet(at("new"))) == [("b", 8), ("b", 9)]
+
+
+def test_sheets_at_file_addresses(spark, tmp_path, rows):
+    tables.write_table(spark.range(3), f"file://{tmp_path}/a.xlsx")
+    assert rows(tables.read_table(spark, f"file://{tmp_path}/a.xlsx")) == [(0,), (1,), (2,)]
+    with pytest.raises(RuleError):
+        tables.read_table(spark, "hdfs://host/a.xlsx")
+
+
 def test_sheet_layout(spark, tmp_path):
     at = str(tmp_path / "b.xlsx")
     xlsx.write_rows(at, ["a", "b", ""], [[1, None, None], [], [2, "x"]], captions=None)
