@@ -1,13 +1,22 @@
-"""Column profiles by character-class masks, and departures of a load from the one before it.
+"""Column profiles by mined character-class masks, and departures of a load from the one before it.
 
-A value's mask replaces each character by its class. Masks are few where values are many, so a table is reduced, map
-side, to its distinct combinations of masks per load; null shares, dominant masks, rare masks and the divergence of
-two loads all come from those combinations. Medians come from a radix selection over leading digits: each pass counts
-at most 900 groups a load and power of ten, and no pass gathers the values of a load.
+A value's mask replaces each character by its class. Masks are generalised in three steps, each coarser than the last:
+
+* ``tail``: classes, but the last two characters as they are, so short codes and the endings of longer ones stay apart;
+* ``class``: every character by its class;
+* ``runs``: ``class`` with each run of one class shortened to one sign.
+
+A column is judged at the finest step at which its dominant masks cover nearly all its values; a column that no step
+covers has no pattern, and nothing in it is rare. Masks are few where values are many: one pass counts them by group,
+column and mask with map-side partial counts, and null shares, dominant masks, rare masks and the divergence of two loads
+all come from those counts. Medians come from a radix selection that narrows an interval by counting; no pass gathers or
+sorts the values of a load.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,133 +24,203 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ruleframe.functions.columns import q
 from ruleframe.operators.sizes import small
 from ruleframe.storage import cut
 
-#: Values of up to so many characters are their own mask: codes and flags are judged by what they are.
-LITERAL_LENGTH = 3
-#: Longer values have runs of one class shortened.
-LONG = 40
-#: A mask is dominant if this share of a column's non-null values has it.
-DOMINANT_SHARE = 0.05
-#: The rows of one load that share the median's leading digits are sorted in one task up to this number.
-SORT_IN_ONE_TASK = 1_000_000
+LEVELS = ("tail", "class", "runs")
+#: A mask is dominant if this share of a column's non-null values has it; a column has at most 1 / share such masks.
+DOMINANT_SHARE = 0.02
+#: A step describes a column if its dominant masks have this share of the non-null values.
+COVER = 0.9
+#: Each pass of the median's selection cuts an interval into so many parts.
+PARTS = 4096
 
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_CLASSES = ((r"\p{Lu}", "A"), (r"\p{Ll}", "a"), (r"[\p{Lo}\p{Lm}\p{Lt}\p{M}]", "w"), (r"[\p{Nd}&&[^0-9]]", "d"), (r"[\p{Cf}\p{Cc}]", "?"))
 
 
 def mask(value: Column) -> Column:
-    """The mask of a text; null stays null.
+    """The class mask of a text of any length; null stays null.
 
     ``A`` and ``a`` stand for letters, ``9`` for an ASCII digit, ``d`` for another digit, ``w`` for a letter without
-    case, ``?`` for an invisible character; all else stands for itself. Six ASCII digits that form a year and a month
-    are ``yyyyMM``. Texts of up to three characters are their own mask; in texts of more than forty, runs of four and
-    more of one class are shortened to one and ``+``.
+    case, ``?`` for an invisible character; all else stands for itself.
     """
     plain = F.translate(value, _UPPER + _LOWER + _DIGIT, "A" * 26 + "a" * 26 + "9" * 10)
-    wide = plain
-    for pattern, sign in ((r"\p{Lu}", "A"), (r"\p{Ll}", "a"), (r"[\p{Lo}\p{Lm}\p{Lt}\p{M}]", "w"), (r"[\p{Nd}&&[^0-9]]", "d"), (r"[\p{Cf}\p{Cc}]", "?")):
-        wide = F.regexp_replace(wide, pattern, sign)
-    classed = F.when(value.rlike(r"^[ -~]*$"), plain).otherwise(wide)
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(F.length(value) <= LITERAL_LENGTH, value)
-        .when(value.rlike(r"^[0-9]{4}(0[1-9]|1[0-2])$"), "yyyyMM")
-        .when(F.length(value) > LONG, F.regexp_replace(classed, r"(.)\1{3,}", "$1+"))
-        .otherwise(classed)
-    )
-
-
-def _any_mask(df: DataFrame, column: str) -> Column:
+    wide = reduce(lambda c, x: F.regexp_replace(c, *x), _CLASSES, plain)
+    return F.when(value.rlike(r"^[ -~]*\z"), plain).otherwise(wide)
+
+
+def _at(level: str, classes: Column, tail: Column) -> Column:
+    """The mask at a step, from the class mask and the value's last two characters."""
+    if level == "class":
+        return classes
+    if level == "runs":
+        return F.regexp_replace(classes, r"([Aa9wd?])\1+", "$1")
+    return F.concat(F.substring(classes, F.lit(1), F.greatest(F.length(classes) - 2, F.lit(0))), tail)
+
+
+def _is_text(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.StringType)
+
+
+def level_mask(df: DataFrame, column: str, level: str) -> Column:
+    """The mask of a column's values at a step; values of other kinds than text have ``value`` (``nan`` for NaN)."""
     kind = df.schema[column].dataType
     if isinstance(kind, T.StringType):
-        return mask(F.col(column))
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return F.when(F.col(column).isNotNull(), F.when(F.isnan(column), "nan").otherwise("number"))
-    return F.when(F.col(column).isNotNull(), kind.typeName())
+        return _at(level, mask(q(column)), F.substring(q(column), -2, 2))
+    value = F.when(F.isnan(q(column)), "nan").otherwise("value") if isinstance(kind, (T.DoubleType, T.FloatType)) else F.lit("value")
+    return F.when(q(column).isNotNull(), value)
+
+
+def _conforms(column: Column, form: str) -> Column:
+    return column.rlike(rf"\A(?:{form})\z")
 
 
-def mask_counts(df: DataFrame, group: str | None, columns: list[str] | None = None) -> DataFrame:
-    """(``grp``, ``column_name``, ``mask``, ``n``): how often each mask, null included, occurs by group.
+def mask_counts(df: DataFrame, group: str | None, columns: list[str] | None = None, declared: dict[str, str] | None = None) -> DataFrame:
+    """(``grp``, ``column_name``, ``mask``, ``tail``, ``n``, ``n_bad``): how often each mask, null included, occurs by group.
 
-    One pass: rows are first counted by their whole combination of masks.
+    ``mask`` is the class mask, ``tail`` the last two characters; ``n_bad`` counts the values that break the form
+    declared for the column. Texts are counted by mask; all other columns by one aggregate over nulls and NaN.
     """
     columns = [c for c in df.columns if c != group] if columns is None else columns
-    g = F.col(group) if group else F.lit(0)
-    combined = df.select(g.alias("grp"), *[_any_mask(df, c).alias(f"m{k}") for k, c in enumerate(columns)])
-    combined = combined.groupBy("grp", *[f"m{k}" for k in range(len(columns))]).agg(F.count("*").alias("n"))
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"m{k}").alias("mask")) for k, c in enumerate(columns)])
-    return combined.select("grp", "n", F.inline(cells)).groupBy("grp", "column_name", "mask").agg(F.sum("n").alias("n"))
-
-
-def dominant_masks(counts: DataFrame, share: float = DOMINANT_SHARE) -> DataFrame:
-    """(``column_name``, ``mask``, ``n``, ``share``) of the masks that make up at least ``share`` of a column's non-null values."""
-    per = counts.where("mask is not null").groupBy("column_name", "mask").agg(F.sum("n").alias("n"))
-    whole = per.groupBy("column_name").agg(F.sum("n").alias("of"))
-    return per.join(whole, "column_name").withColumn("share", F.col("n") / F.col("of")).where(F.col("share") >= share).drop("of")
-
-
-def accepted_masks(counts: DataFrame, declared: dict[str, list[str]] | None = None, share: float = DOMINANT_SHARE, most: int = 1000) -> dict[str, list[str]]:
-    """The masks each column may have: the declared ones, else the mined dominant ones (at most 1 / share a column)."""
-    mined: dict[str, list[str]] = {}
-    for r in dominant_masks(counts, share).limit(most).collect():
-        mined.setdefault(r["column_name"], []).append(r["mask"])
-    return mined | (declared or {})
-
-
-def violations(df: DataFrame, row_id: str, accepted: dict[str, list[str]], ranges: dict[str, tuple[str, str]] | None = None, group: str | None = None) -> DataFrame:
-    """One row a single bad value: ``finding`` (``pattern``: a mask not accepted; ``range``: an accepted value outside
-    its range), ``column_name``, ``load_id`` (0 without ``group``), ``row_id``. Nulls are no violation."""
-    found = []
-    for c, masks in accepted.items():
-        fits = mask(F.col(c)).isin(*masks) if masks else F.lit(False)
-        found.append(F.when(F.col(c).isNotNull() & ~fits, F.struct(F.lit("pattern").alias("finding"), F.lit(c).alias("column_name"))))
-        if ranges and c in ranges:
+    declared = declared or {}
+    g = q(group) if group else F.lit(0)
+    parts = []
+    if texts := [c for c in columns if _is_text(df, c)]:
+        bad = lambda c: (q(c).isNotNull() & ~_conforms(q(c), declared[c])).cast("long") if c in declared else F.lit(0).cast("long")
+        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), q(c).alias("v"), bad(c).alias("bad")) for c in texts])
+        rows = df.select(g.alias("grp"), F.inline(cells))
+        parts.append(rows.groupBy("grp", "column_name", mask(F.col("v")).alias("mask"), F.substring("v", -2, 2).alias("tail")).agg(F.count("*").alias("n"), F.sum("bad").alias("n_bad")))
+    if others := [c for c in columns if c not in texts]:
+        signs = [(c, s) for c in others for s in ("value", "nan")]
+        aggs = [F.sum((level_mask(df, c, "class") == s).cast("long")).alias(f"k{i}") for i, (c, s) in enumerate(signs)]
+        one = df.groupBy(g.alias("grp")).agg(F.count("*").alias("n"), *aggs)
+        n = lambda i: F.coalesce(F.col(f"k{i}"), F.lit(0))
+        cells = [F.struct(F.lit(c).alias("column_name"), F.lit(s).alias("mask"), n(i).alias("n")) for i, (c, s) in enumerate(signs)]
+        cells += [F.struct(F.lit(c).alias("column_name"), F.lit(None).cast("string").alias("mask"), (F.col("n") - n(2 * k) - n(2 * k + 1)).alias("n")) for k, c in enumerate(others)]
+        counted = one.select("grp", F.inline(F.array(*cells))).where("n > 0")
+        parts.append(counted.select("grp", "column_name", "mask", F.when(F.col("mask").isNotNull(), F.substring("mask", -2, 2)).alias("tail"), "n", F.lit(0).cast("long").alias("n_bad")))
+    if not parts:
+        raise ValueError("no columns to profile")
+    return reduce(DataFrame.unionByName, parts)
+
+
+@dataclass(frozen=True)
+class Pattern:
+    """What is mined for one column: the step it is judged at (``none``: no pattern) and its dominant masks."""
+
+    level: str
+    masks: tuple[str, ...]
+    broken: tuple[str, ...] = ()
+    """Dominant masks that some value breaking the declared form has; their values are checked one by one."""
+
+
+def mine(counts: DataFrame, share: float = DOMINANT_SHARE, cover: float = COVER) -> dict[str, Pattern]:
+    """The pattern of each column in ``mask_counts``.
+
+    The driver gets the dominant masks only, at most 1 / ``share`` a column and step, whatever the number of rows.
+    A column without non-null values has no pattern.
+    """
+    parts = []
+    for k, level in enumerate(LEVELS):
+        per = counts.where("mask is not null").groupBy("column_name", _at(level, F.col("mask"), F.col("tail")).alias("m")).agg(F.sum("n").alias("n"), F.sum("n_bad").alias("bad"))
+        whole = per.groupBy("column_name").agg(F.sum("n").alias("of"))
+        parts.append(per.join(whole, "column_name").where(F.col("n") / F.col("of") >= share).select(F.lit(k).alias("k"), "column_name", "m", "n", "bad", "of"))
+    names = [r[0] for r in counts.select("column_name").distinct().collect()]
+    top = sorted(reduce(DataFrame.unionByName, parts).collect(), key=lambda r: (r["k"], r["m"]))
+    found = {}
+    for c in names:
+        for k, level in enumerate(LEVELS):
+            own = [r for r in top if r["column_name"] == c and r["k"] == k]
+            if own and sum(r["n"] for r in own) >= cover * own[0]["of"]:
+                found[c] = Pattern(level, tuple(r["m"] for r in own if not r["bad"]), tuple(r["m"] for r in own if r["bad"]))
+                break
+        else:
+            found[c] = Pattern("none", ())
+    return found
+
+
+def _rare(df: DataFrame, column: str, pattern: Pattern, declared: bool) -> Column:
+    """Whether a value's mask is not among the accepted ones. With a declared form, masks that some bad value shares
+    are not accepted either, and without any pattern every value is looked at."""
+    if pattern.level == "none":
+        return F.lit(declared)
+    masks = pattern.masks if declared else (*pattern.masks, *pattern.broken)
+    return ~level_mask(df, column, pattern.level).isin(*masks) if masks else F.lit(True)
+
+
+def violations(df: DataFrame, row_id: str, patterns: dict[str, Pattern], declared: dict[str, str] | None = None, ranges: dict[str, tuple[str, str]] | None = None, group: str | None = None) -> DataFrame:
+    """One row a single bad value: ``finding``, ``column_name``, ``load_id`` (0 without ``group``), ``row_id``, ``mask``.
+
+    ``pattern``: the value's mask is not among its column's mined ones; where a form is declared, values that keep it
+    are let go. ``range``: a value that keeps its form but lies outside the range given. Nulls are no violation.
+    """
+    declared, ranges, found = declared or {}, ranges or {}, []
+    for c, p in patterns.items():
+        there = q(c).isNotNull()
+        rare = _rare(df, c, p, c in declared)
+        if c in declared:
+            rare = rare & ~_conforms(q(c), declared[c])
+        shown = level_mask(df, c, "class" if p.level == "none" else p.level)
+        cell = lambda f, c=c, shown=shown: F.struct(F.lit(f).alias("finding"), F.lit(c).alias("column_name"), shown.alias("mask"))
+        found.append(F.when(there & rare, cell("pattern")))
+        if c in ranges:
             low, high = ranges[c]
-            found.append(F.when(F.col(c).isNotNull() & fits & ((F.col(c) < low) | (F.col(c) > high)), F.struct(F.lit("range").alias("finding"), F.lit(c).alias("column_name"))))
-    g = (F.coalesce(F.col(group), F.lit(0)) if group else F.lit(0)).cast("int").alias("load_id")
-    return df.select(g, F.col(row_id).cast("long").alias("row_id"), F.inline(F.array_compact(F.array(*found))))
+            well = _conforms(q(c), declared[c]) if c in declared else ~rare
+            found.append(F.when(there & well & ((q(c) < low) | (q(c) > high)), cell("range")))
+    g = (F.coalesce(q(group), F.lit(0)) if group else F.lit(0)).cast("int").alias("load_id")
+    return df.select(g, q(row_id).cast("long").alias("row_id"), F.inline(F.array_compact(F.array(*found))))
+
 
+def rare_masks(counts: DataFrame, patterns: dict[str, Pattern]) -> DataFrame:
+    """(``column_name``, ``level``, ``mask``, ``n``): the masks that are not dominant in a column with a pattern."""
+    parts = []
+    for c, p in patterns.items():
+        if p.level != "none":
+            own = counts.where((F.col("column_name") == c) & F.col("mask").isNotNull())
+            per = own.groupBy("column_name", F.lit(p.level).alias("level"), _at(p.level, F.col("mask"), F.col("tail")).alias("m")).agg(F.sum("n").alias("n"))
+            parts.append(per.where(~F.col("m").isin(*p.masks, *p.broken)).withColumnRenamed("m", "mask"))
+    return reduce(DataFrame.unionByName, parts) if parts else counts.limit(0).select("column_name", F.lit("").alias("level"), "mask", "n")
 
-def _leading(digits: int) -> tuple[Column, Column]:
-    """Power of ten of v, and its first ``digits`` digits."""
-    power = F.when(F.col("v") == 0, F.lit(-400)).otherwise(F.floor(F.log10("v"))).cast("int")
-    return power, F.when(F.col("v") == 0, F.lit(0)).otherwise(F.floor(F.col("v") / F.pow(F.lit(10.0), power - (digits - 1)))).cast("long")
+
+def _ranked(counts: DataFrame, picks: DataFrame, keys: list[str]) -> DataFrame:
+    """The part of each interval that holds the wanted rank, as the next, narrower interval."""
+    upto = F.sum("n").over(W.partitionBy(*keys, "rank").orderBy("k").rowsBetween(W.unboundedPreceding, 0))
+    met = counts.join(picks, keys).withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
+    inside = F.col("inside") - F.col("before")
+    return met.where("before < inside and inside <= upto").select("grp", "rank", F.col("least").alias("lo"), F.col("most").alias("hi"), inside.alias("inside"))
 
 
 def group_medians(df: DataFrame, group: str, value: str) -> DataFrame:
     """(``grp``, ``median``) of the absolute values of ``value``; nulls and NaN don't count, of two middle values the mean is taken.
 
-    Exact for any distribution: the digits of the median are narrowed down until few enough values share them.
+    Exact for any distribution, infinities included. The first pass counts by power of ten and two digits; each later
+    one keeps the rows inside the chosen interval and counts them by ``PARTS`` equal parts of it. Parts follow the order
+    of the values, so the next interval is the least and the greatest value of one part; at most ``PARTS`` counts a
+    group are ranked at once. The passes end when every interval is a single value, after five at most.
     """
-    live = df.select(F.col(group).alias("grp"), F.abs(F.col(value).cast("double")).alias("v")).where("grp is not null and v is not null and not isnan(v)")
-    digits, wanted = 2, None
-    while True:
-        power, lead = _leading(digits)
-        keyed = live.withColumn("p", power).withColumn("k", lead)
-        counts = keyed.groupBy("grp", "p", "k").agg(F.count("*").alias("n"), F.min("v").alias("least"))
-        if wanted is None:
-            whole = counts.withColumn("all", F.sum("n").over(W.partitionBy("grp")))
-            whole = whole.withColumn("rank", F.explode(F.array_distinct(F.array(F.expr("(all + 1) div 2"), F.expr("all div 2 + 1")))))
-        else:
-            whole = counts.join(wanted.select("grp", "p", F.col("k").alias("k0"), "rank", F.col("inside").alias("at")), (counts["grp"] == wanted["grp"]) & (counts["p"] == wanted["p"]) & (F.expr("k div 1000") == F.col("k0"))).select(counts["grp"], counts["p"], counts["k"], "n", "least", "rank", "at")
-        sofar = F.sum("n").over(W.partitionBy("grp", "rank").orderBy("p", "k").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
-        goal = F.col("rank") if wanted is None else F.col("at")
-        picked = whole.withColumn("before", sofar).withColumn("goal", goal).where("before < goal and goal <= before + n")
-        wanted = cut(picked.select("grp", "rank", "p", "k", "n", "least", (F.col("goal") - F.col("before")).alias("inside")))
-        largest = wanted.agg(F.max("n")).first()[0] or 0
-        buckets = small(cut(wanted.select("grp", "p", "k").distinct()))
-        live = cut(keyed.join(buckets, ["grp", "p", "k"]).select("grp", "v"))
-        if largest <= SORT_IN_ONE_TASK or digits >= 15:
-            break
-        digits += 3
-    if largest > SORT_IN_ONE_TASK:  # fifteen equal digits: the values are as good as one
-        value_at = wanted.select("grp", "rank", F.col("least").alias("v"))
-    else:
-        power, lead = _leading(digits)
-        placed = live.withColumn("p", power).withColumn("k", lead).withColumn("inside", F.row_number().over(W.partitionBy("grp", "p", "k").orderBy("v")))
-        value_at = placed.join(small(wanted.select("grp", "rank", "p", "k", "inside")), ["grp", "p", "k", "inside"]).select("grp", "rank", "v")
-    return value_at.groupBy("grp").agg(F.avg("v").alias("median"))
+    live = df.select(q(group).alias("grp"), F.abs(q(value).cast("double")).alias("v")).where("grp is not null and v is not null and not isnan(v)")
+    power = F.greatest(F.floor(F.log10("v")), F.lit(-300)).cast("int")
+    lead = power * 1000 + F.floor(F.col("v") / F.pow(F.lit(10.0), power) * 10).cast("int")
+    k = F.when(F.col("v") == 0, F.lit(-1_000_000)).when(F.col("v") == float("inf"), F.lit(1_000_000)).otherwise(lead)
+    stats = [F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most")]
+    counts = cut(live.groupBy("grp", k.alias("k")).agg(*stats))
+    middle = F.explode(F.array_distinct(F.array(F.expr("(total + 1) div 2"), F.expr("total div 2 + 1"))))
+    wanted = counts.groupBy("grp").agg(F.sum("n").alias("total")).select("grp", middle.alias("rank")).withColumn("inside", F.col("rank"))
+    picks = cut(_ranked(counts, wanted, ["grp"]))
+    done = [picks.where("lo = hi")]
+    picks = picks.where("lo < hi")
+    while picks.limit(1).count():
+        ranges = picks.select("grp", "lo", "hi").distinct()
+        near = small(cut(ranges.select(F.col("grp").alias("g"), "lo", "hi")))
+        live = cut(live.select("grp", "v").join(near, F.expr("grp = g and v between lo and hi")).select("grp", "v", "lo", "hi"))
+        part = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * PARTS), F.lit(PARTS - 1)).cast("int")
+        counts = live.groupBy("grp", "lo", "hi", part.alias("k")).agg(*stats)
+        picks = cut(_ranked(counts, picks, ["grp", "lo", "hi"]))
+        done.append(picks.where("lo = hi"))
+        picks = picks.where("lo < hi")
+    return reduce(DataFrame.unionByName, done).groupBy("grp").agg(F.avg("lo").alias("median"))
 
 
 def previous_loads(log: DataFrame, load: str = "load_id", feed: str = "feed_code", order: str = "load_seq") -> DataFrame:
@@ -154,21 +233,50 @@ def _with_previous(stats: DataFrame, before: DataFrame, keys: list[str]) -> Data
     return stats.join(before, "grp").join(old, ["prev", *keys])
 
 
+def divergence(counts: DataFrame, before: DataFrame, nulls: bool = True) -> DataFrame:
+    """(``load_id``, ``column_name``, ``divergence``): Jensen-Shannon divergence (0 to 1) of a load's masks, with their
+    tails, from the load before; null is a mask of its own or, without ``nulls``, does not count."""
+    counts = counts if nulls else counts.where("mask is not null")
+    one = counts.select("grp", "column_name", F.coalesce(_at("tail", F.col("mask"), F.col("tail")), F.lit("\u0000")).alias("m"), "n")
+    whole = one.groupBy("grp", "column_name").agg(F.sum("n").alias("of"))
+    p = one.groupBy("grp", "column_name", "m").agg(F.sum("n").alias("n")).join(whole, ["grp", "column_name"]).select("grp", "column_name", "m", (F.col("n") / F.col("of")).alias("p"))
+    pairs = before.join(whole.select("grp", "column_name"), "grp").join(whole.select(F.col("grp").alias("prev"), "column_name"), ["prev", "column_name"])
+    new = p.join(pairs, ["grp", "column_name"]).select("grp", "column_name", "m", "p", F.lit(0.0).alias("q"))
+    old = pairs.join(p.withColumnRenamed("grp", "prev"), ["prev", "column_name"]).select("grp", "column_name", "m", F.lit(0.0).alias("p"), F.col("p").alias("q"))
+    both = new.unionByName(old).groupBy("grp", "column_name", "m").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    mid = (F.col("p") + F.col("q")) / 2
+    part = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log2(F.col(x) / mid)).otherwise(0.0) / 2
+    return both.groupBy(F.col("grp").alias("load_id"), "column_name").agg(F.sum(part("p") + part("q")).alias("divergence"))
+
+
+def _least_divergence(step: float) -> float:
+    """If the share of any one mask moves by ``step``, the divergence is at least this (Pinsker's inequality)."""
+    return step * step / (2 * math.log(2)) * (1 - 1e-9)
+
+
 def load_departures(counts: DataFrame, medians: dict[str, DataFrame], before: DataFrame, shares: dict[str, str], null_step: float = 0.10, share_step: float = 0.20, factor: float = 10.0) -> DataFrame:
     """(``finding``, ``column_name``, ``load_id``): loads that depart from the load before them.
 
-    ``null_share``: a column's share of nulls moved by ``null_step`` or more; ``mix``: the share, among non-null
-    values, of the mask given in ``shares`` moved by ``share_step``; ``median``: the median is ``factor`` times the
-    earlier one or more, or the ``factor``-th part or less. Loads without rows, and those after them, are not compared.
+    Loads whose masks diverge so little that no share can have moved by the step asked for are out at once; of the rest,
+    ``null_share``: a column's share of nulls moved by ``null_step`` or more; ``mix``: the share, among non-null values,
+    of the value given in ``shares`` (of at most two characters, so that its tail is the value) moved by ``share_step``;
+    ``median``: the median is ``factor`` times the earlier one or more, or the ``factor``-th part or less. Loads without
+    rows, and those after them, are not compared.
     """
+    told = lambda step, nulls: divergence(counts, before, nulls).where(F.col("divergence") >= _least_divergence(step)).select(F.col("load_id").alias("grp"), "column_name")
     per = counts.groupBy("grp", "column_name").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("mask").isNull(), F.col("n"))), F.lit(0)).alias("nulls"))
     moved = F.round(F.abs(F.col("nulls") / F.col("n") - F.col("old_nulls") / F.col("old_n")), 9)
-    found = _with_previous(per, before, ["column_name"]).where(moved >= null_step).select(F.lit("null_share").alias("finding"), "column_name", F.col("grp").alias("load_id"))
-    for c, m in shares.items():
+    departed = _with_previous(per, before, ["column_name"]).join(told(null_step, True), ["grp", "column_name"], "left_semi")
+    found = departed.where(moved >= null_step).select(F.lit("null_share").alias("finding"), "column_name", F.col("grp").alias("load_id"))
+    for c, value in shares.items():
+        if len(value) > 2:
+            raise ValueError("the value whose share is watched has at most two characters")
         own = counts.where((F.col("column_name") == c) & F.col("mask").isNotNull())
-        own = own.groupBy("grp", "column_name").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("mask") == m, F.col("n"))), F.lit(0)).alias("k"))
+        same = (F.col("tail") == value) & (F.length("mask") == len(value))
+        own = own.groupBy("grp", "column_name").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(same, F.col("n"))), F.lit(0)).alias("k"))
         moved = F.round(F.abs(F.col("k") / F.col("n") - F.col("old_k") / F.col("old_n")), 9)
-        found = found.unionByName(_with_previous(own, before, ["column_name"]).where(moved >= share_step).select(F.lit("mix").alias("finding"), "column_name", F.col("grp").alias("load_id")))
+        departed = _with_previous(own, before, ["column_name"]).join(told(share_step, False), ["grp", "column_name"], "left_semi")
+        found = found.unionByName(departed.where(moved >= share_step).select(F.lit("mix").alias("finding"), "column_name", F.col("grp").alias("load_id")))
     for c, med in medians.items():
         new, old = F.col("median"), F.col("old_median")
         far = ((new >= old * factor) | (new <= old / factor)) & (new != old)
@@ -176,56 +284,59 @@ def load_departures(counts: DataFrame, medians: dict[str, DataFrame], before: Da
     return found
 
 
-def divergence(counts: DataFrame, before: DataFrame) -> DataFrame:
-    """(``load_id``, ``column_name``, ``divergence``): Jensen-Shannon divergence (0 to 1) of a load's masks from the load before."""
-    whole = counts.groupBy("grp", "column_name").agg(F.sum("n").alias("of"))
-    p = counts.join(whole, ["grp", "column_name"]).select("grp", "column_name", F.coalesce("mask", F.lit("\u0000")).alias("mask"), (F.col("n") / F.col("of")).alias("p"))
-    pairs = before.join(whole.select("grp", "column_name"), "grp").join(whole.select(F.col("grp").alias("prev"), "column_name"), ["prev", "column_name"])
-    new = p.join(pairs, ["grp", "column_name"]).select("grp", "column_name", "mask", "p", F.lit(0.0).alias("q"))
-    old = pairs.join(p.withColumnRenamed("grp", "prev"), ["prev", "column_name"]).select("grp", "column_name", "mask", F.lit(0.0).alias("p"), F.col("p").alias("q"))
-    both = new.unionByName(old).groupBy("grp", "column_name", "mask").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    mid = (F.col("p") + F.col("q")) / 2
-    part = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log2(F.col(x) / mid)).otherwise(0.0) / 2
-    return both.groupBy(F.col("grp").alias("load_id"), "column_name").agg(F.sum(part("p") + part("q")).alias("divergence"))
-
-
 def distinct_counts(df: DataFrame, columns: list[str], group: str | None = None) -> DataFrame:
     """(``grp``, ``column_name``, ``n_distinct``): the exact number of different non-null values, by group.
 
     Two stages a column, so no task holds the values of a group.
     """
-    g = F.col(group) if group else F.lit(0)
-    values = [df.select(g.alias("grp"), F.col(c).alias("value")).where("value is not null").distinct().groupBy("grp").agg(F.count("*").alias("n_distinct")) for c in columns]
+    g = q(group) if group else F.lit(0)
+    values = [df.select(g.alias("grp"), q(c).alias("value")).where("value is not null").distinct().groupBy("grp").agg(F.count("*").alias("n_distinct")) for c in columns]
     return reduce(DataFrame.unionByName, [v.select("grp", F.lit(c).alias("column_name"), "n_distinct") for c, v in zip(columns, values)])
 
 
+def _text(df: DataFrame, column: str, value: Column) -> Column:
+    """A value as text: numbers with six decimals (as Spark writes them where they are too large), times to the microsecond."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.coalesce(value.try_cast("decimal(38,6)").cast("string"), value.cast("string"))
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return value.cast("string")
+
+
 def profile(df: DataFrame, columns: list[str] | None = None, group: str | None = None) -> DataFrame:
     """One row a column, and a group if one is given: rows, nulls, null rate, exact number of distinct values, least and
-    greatest value as text, number of masks, dominant masks and the rows with a rare one.
+    greatest value as text, the step of its masks, their number, the dominant masks and the rows with a rare one.
 
     With ``group`` the result has ``grp`` (null is a group too). Masks are dominant or not in the whole column, so a
     group of nothing but malformed values shows them as rare; ``dominant_masks`` has those that the group holds.
-    ``distinct_about`` is the same number as ``n_distinct`` under its earlier name.
     """
     columns = [c for c in df.columns if c != group] if columns is None else columns
     aggs = []
     for k, c in enumerate(columns):
-        x = F.col(c)
-        aggs += [F.count(x).alias(f"n{k}"), F.min(x).cast("string").alias(f"lo{k}"), F.max(x).cast("string").alias(f"hi{k}")]
+        x = q(c)
+        aggs += [F.count(x).alias(f"n{k}"), _text(df, c, F.min(x)).alias(f"lo{k}"), _text(df, c, F.max(x)).alias(f"hi{k}")]
     aggs = [F.count("*").alias("rows"), *aggs]
-    one = df.groupBy(F.col(group).alias("grp")).agg(*aggs) if group else df.agg(*aggs).withColumn("grp", F.lit(0))
+    one = df.groupBy(q(group).alias("grp")).agg(*aggs) if group else df.agg(*aggs).withColumn("grp", F.lit(0))
     cells = [F.struct(F.lit(c).alias("column_name"), F.col("rows").alias("n_rows"), (F.col("rows") - F.col(f"n{k}")).alias("n_nulls"), F.col(f"lo{k}").alias("least"), F.col(f"hi{k}").alias("greatest")) for k, c in enumerate(columns)]
     stats = one.select("grp", F.inline(F.array(*cells)))
-    counts = cut(mask_counts(df, group, columns)).where("mask is not null")
-    dominant = dominant_masks(counts).select("column_name", "mask", F.lit(True).alias("top"))
-    found = counts.join(dominant, ["column_name", "mask"], "left")
-    masks = found.groupBy("grp", "column_name").agg(F.count("*").alias("n_masks"), F.array_sort(F.collect_list(F.when(F.col("top"), F.col("mask")))).alias("dominant_masks"), F.sum(F.when(F.col("top"), F.col("n"))).alias("in_dominant"))
+    counts = cut(mask_counts(df, group, columns))
+    patterns = mine(counts)
+    own = []
+    for c, p in patterns.items():
+        level = "runs" if p.level == "none" else p.level
+        per = counts.where((F.col("column_name") == c) & F.col("mask").isNotNull()).groupBy("grp", "column_name", _at(level, F.col("mask"), F.col("tail")).alias("m")).agg(F.sum("n").alias("n"))
+        top = F.col("m").isin(*p.masks) if p.masks else F.lit(False)
+        rare = F.lit(0).cast("long") if p.level == "none" else F.sum(F.when(top, 0).otherwise(F.col("n")))
+        own.append(per.groupBy("grp", "column_name").agg(F.lit(p.level).alias("level"), F.count("*").alias("n_masks"), F.array_sort(F.collect_list(F.when(top, F.col("m")))).alias("dominant_masks"), rare.alias("rare_rows")))
     # united and folded, not joined: a null group meets itself
-    parts = stats.unionByName(distinct_counts(df, columns, group), True).unionByName(masks, True)
-    names = ["n_rows", "n_nulls", "n_distinct", "least", "greatest", "n_masks", "dominant_masks", "in_dominant"]
+    parts = reduce(lambda a, b: a.unionByName(b, True), [stats, distinct_counts(df, columns, group), *own])
+    names = ["n_rows", "n_nulls", "n_distinct", "least", "greatest", "level", "n_masks", "dominant_masks", "rare_rows"]
+    if not own:
+        parts = parts.withColumns({"level": F.lit(None).cast("string"), "n_masks": F.lit(None).cast("long"), "dominant_masks": F.lit(None).cast("array<string>"), "rare_rows": F.lit(None).cast("long")})
     whole = parts.groupBy("grp", "column_name").agg(*[F.max(c).alias(c) for c in names])
-    none = F.coalesce("n_distinct", F.lit(0).cast("long"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return whole.select(
-        *(["grp"] if group else []), "column_name", "n_rows", "n_nulls", F.try_divide("n_nulls", "n_rows").alias("null_rate"), none.alias("n_distinct"), none.alias("distinct_about"), "least", "greatest", "n_masks",
-        F.when(F.size("dominant_masks") > 0, F.col("dominant_masks")).alias("dominant_masks"), (F.col("n_rows") - F.col("n_nulls") - F.coalesce("in_dominant", F.lit(0))).alias("rare_rows"),
+        *(["grp"] if group else []), "column_name", "n_rows", "n_nulls", F.try_divide("n_nulls", "n_rows").alias("null_rate"), zero("n_distinct"), "least", "greatest", F.coalesce("level", F.lit("none")).alias("level"), zero("n_masks"),
+        F.when(F.size("dominant_masks") > 0, F.col("dominant_masks")).alias("dominant_masks"), zero("rare_rows"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,36 +87,58 @@ def p4_unified(spark: SparkSession, d: str) -> DataFrame:
     return one.select(F.col("series.t").alias("table_name"), F.col("series.s").alias("series"), F.col("file").alias("file_no"), F.col("rec").alias("record_key"), F.to_json("fields").alias("fields"))
 
 
-#: What a column with a declared form may look like; other columns are judged by their dominant masks.
-DECLARED = {"period": ["yyyyMM"], "is_base": ["Y", "N"]}
+#: The declared forms: mined masks are accepted only as far as their values keep them.
+DECLARED = {"period": "[0-9]{4}(0[1-9]|1[0-2])", "is_base": "Y|N"}
 PERIODS = {"period": ("202401", "202512")}
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     detail, members = table(spark, d, "detail"), table(spark, d, "metadata")
-    counts = cut(profile.mask_counts(detail, "load_id"))
-    single = profile.violations(detail, "detail_id", DECLARED, PERIODS, "load_id").withColumn("table_name", F.lit("detail"))
-    flags = profile.violations(members, "meta_id", {"is_base": DECLARED["is_base"]}).withColumn("table_name", F.lit("metadata"))
+    flags = {"is_base": DECLARED["is_base"]}
+    counts = cut(profile.mask_counts(detail, "load_id", declared=DECLARED))
+    mined = profile.mine(counts.where(F.col("column_name").isin(*DECLARED)))
+    single = profile.violations(detail, "detail_id", mined, DECLARED, PERIODS, "load_id").withColumn("table_name", F.lit("detail"))
+    mined = profile.mine(cut(profile.mask_counts(members, None, ["is_base"], flags)))
+    odd = profile.violations(members, "meta_id", mined, flags).withColumn("table_name", F.lit("metadata"))
     before = cut(profile.previous_loads(table(spark, d, "load_log")))
     medians = {"amount": cut(profile.group_medians(detail, "load_id", "amount"))}
     loads = profile.load_departures(counts, medians, before, {"is_base": "Y"})
     loads = loads.withColumns({"table_name": F.lit("detail"), "row_id": F.lit(0).cast("long"), "load_id": F.col("load_id").cast("int")})
-    return single.unionByName(flags).unionByName(loads).select("table_name", "finding", "column_name", "load_id", "row_id")
+    names = ["table_name", "finding", "column_name", "load_id", "row_id"]
+    return single.select(*names).unionByName(odd.select(*names)).unionByName(loads.select(*names))
+
+
+def _two_tables(spark: SparkSession, d: str) -> list[tuple[str, str, str | None, DataFrame]]:
+    """(name, row id, group, rows) of the tables that are profiled."""
+    return [("detail", "detail_id", "load_id", table(spark, d, "detail")), ("metadata", "meta_id", None, table(spark, d, "metadata"))]
 
 
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
     """Each column of ``detail`` by load (``scope`` ``load``), and of ``detail`` and ``metadata`` as a whole (``scope`` ``table``, ``load_id`` null)."""
-    detail, members = table(spark, d, "detail"), table(spark, d, "metadata")
-    loads = profile.profile(detail, group="load_id").withColumnRenamed("grp", "load_id").withColumns({"table_name": F.lit("detail"), "scope": F.lit("load")})
-    for name, whole in (("detail", detail), ("metadata", members)):
-        loads = loads.unionByName(profile.profile(whole).withColumns({"table_name": F.lit(name), "scope": F.lit("table"), "load_id": F.lit(None).cast("int")}))
-    return loads
+    parts = []
+    for name, _, group, rows in _two_tables(spark, d):
+        if group:
+            parts.append(profile.profile(rows, group=group).withColumnRenamed("grp", "load_id").withColumns({"table_name": F.lit(name), "scope": F.lit("load")}))
+        parts.append(profile.profile(rows).withColumns({"table_name": F.lit(name), "scope": F.lit("table"), "load_id": F.lit(None).cast("int")}))
+    return reduce(DataFrame.unionByName, parts).withColumn("dominant_masks", F.array_join("dominant_masks", " | "))
 
 
 def p5_rare_masks(spark: SparkSession, d: str) -> DataFrame:
-    """Masks of ``detail`` that make up less than a twentieth of their column, with their rows."""
-    counts = cut(profile.mask_counts(table(spark, d, "detail"), None)).where("mask is not null").select("column_name", "mask", "n")
-    return counts.join(profile.dominant_masks(counts).select("column_name", "mask"), ["column_name", "mask"], "left_anti")
+    """The masks of both tables that are not dominant in their column, at the step at which the column is judged."""
+    parts = []
+    for name, _, group, rows in _two_tables(spark, d):
+        counts = cut(profile.mask_counts(rows, group))
+        parts.append(profile.rare_masks(counts, profile.mine(counts)).select(F.lit(name).alias("table_name"), "column_name", "level", "mask", "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p5_rare_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that hold those masks, one row a value."""
+    parts = []
+    for name, row_id, group, rows in _two_tables(spark, d):
+        mined = profile.mine(cut(profile.mask_counts(rows, group)))
+        parts.append(profile.violations(rows, row_id, mined, group=group).select(F.lit(name).alias("table_name"), "column_name", "load_id", "row_id", "mask"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def p5_divergence(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +147,7 @@ def p5_divergence(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("divergence", F.round("divergence", 6) + 0.0)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p3_found, p3_counts, p4_found, p4_unified, p5_found, p5_profile, p5_rare_masks, p5_divergence, p6_found, p6_values, p6_all_values)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p3_found, p3_counts, p4_found, p4_unified, p5_found, p5_profile, p5_rare_masks, p5_rare_rows, p5_divergence, p6_found, p6_values, p6_all_values)}
 
 _TREE = """WITH RECURSIVE m AS (
   SELECT dimension AS d, element_code AS c, min(CASE WHEN trim(parent) <> '' THEN parent END) AS p FROM metadata
@@ -192,12 +216,42 @@ _CLASSED = "regexp_replace(v, '[0-9]', chr(1), 'g')"
 for _pattern, _sign in ((r"\p{Lu}", "A"), (r"\p{Ll}", "a"), (r"[\p{Lo}\p{Lm}\p{Lt}\p{M}]", "w"), (r"\p{Nd}", "d"), (r"\x01", "9"), (r"[\p{Cf}\p{Cc}]", "?")):
     _CLASSED = f"regexp_replace({_CLASSED}, '{_pattern}', '{_sign}', 'g')"
 _TEXT_COLUMNS = ["voucher_no", "period", "entity", "element_code", "is_base", "currency"]
-_MASKS = (
-    "WITH v AS ("
-    + " UNION ALL ".join(f"SELECT load_id, '{c}' AS column_name, {c} AS v, TRUE AS txt FROM detail" if c in _TEXT_COLUMNS else f"SELECT load_id, '{c}', CASE WHEN {c} IS NOT NULL THEN 'there' END, FALSE FROM detail" for c in ["voucher_no", *[x for x in _P5_COLUMNS if x != "voucher_no"]])
-    + f"""), m AS (SELECT load_id, column_name, CASE WHEN v IS NULL OR length(v) <= 3 OR NOT txt THEN v WHEN regexp_full_match(v, '[0-9]{{4}}(0[1-9]|1[0-2])') THEN 'yyyyMM' ELSE {_CLASSED} END AS mask FROM v),
-counts AS (SELECT load_id, column_name, mask, count(*) AS n FROM m GROUP BY ALL)"""
+_META_COLUMNS = ["dimension", "element_code", "element_name", "is_base", "parent"]
+_SHORT = "m"
+for _sign in ("A", "a", "9", "w", "d", "\\?"):
+    _SHORT = f"regexp_replace({_SHORT}, '{_sign}+', '{_sign[-1]}', 'g')"
+_CELLS = " UNION ALL ".join(
+    [f"SELECT 'detail' AS t, load_id, detail_id AS row_id, '{c}' AS c, {c} AS v, TRUE AS txt FROM detail" for c in _TEXT_COLUMNS]
+    + [f"SELECT 'detail', load_id, detail_id, '{c}', CASE WHEN {c} IS NOT NULL THEN 'value' END, FALSE FROM detail" for c in _P5_COLUMNS if c not in _TEXT_COLUMNS]
+    + ["SELECT 'detail', load_id, detail_id, 'load_id', CASE WHEN load_id IS NOT NULL THEN 'value' END, FALSE FROM detail"]
+    + [f"SELECT 'metadata', NULL, meta_id, '{c}', {c}, TRUE FROM metadata" for c in _META_COLUMNS]
+    + [f"SELECT 'metadata', NULL, meta_id, '{c}', CASE WHEN {c} IS NOT NULL THEN 'value' END, FALSE FROM metadata" for c in ("meta_id", "created_at", "deleted_at")]
 )
+_MASKS = f"""WITH v AS ({_CELLS}),
+x AS (SELECT t, load_id, row_id, c, v, CASE WHEN txt THEN {_CLASSED} ELSE v END AS m FROM v),
+m AS (SELECT t, load_id, row_id, c, v, unnest([{{'k': 0, 'name': 'tail', 'm': substr(m, 1, greatest(length(m) - 2, 0)) || right(v, 2)}}, {{'k': 1, 'name': 'class', 'm': m}}, {{'k': 2, 'name': 'runs', 'm': CASE WHEN m = 'value' AND v = 'value' THEN m ELSE {_SHORT} END}}], recursive := true) FROM x),
+n AS (SELECT t, c, k, name, m, count(*) AS n, sum(count(*)) OVER (PARTITION BY t, c, k) AS whole FROM m WHERE m IS NOT NULL GROUP BY t, c, k, name, m),
+top AS (SELECT * FROM n WHERE n / whole >= 0.02),
+lev AS (SELECT t, c, min(k) AS k FROM (SELECT t, c, k FROM top GROUP BY t, c, k, whole HAVING sum(n) >= 0.9 * whole) GROUP BY t, c)"""
+_DISTINCT_MASKS = _MASKS + """, u AS (SELECT m.t, m.load_id, m.c, m.m, count(*) AS n, top.m IS NOT NULL AND lev.k IS NOT NULL AS dominant, lev.k IS NULL AS unruly
+  FROM m LEFT JOIN lev ON lev.t = m.t AND lev.c = m.c LEFT JOIN top ON top.t = m.t AND top.c = m.c AND top.k = m.k AND top.m = m.m WHERE m.k = coalesce(lev.k, 2) AND m.m IS NOT NULL GROUP BY ALL)"""
+
+
+def _profiled(name: str, columns: list[str], texts: list[str], scope: str) -> str:
+    """The profile of one table, by load or as a whole."""
+    g = "load_id" if scope == "load" else "NULL::INTEGER"
+    def shown(c: str, f: str) -> str:
+        if c in ("amount", "amount2"):
+            return f"CAST(CAST({f}({c}) AS DECIMAL(38, 6)) AS VARCHAR)"
+        return f"strftime({f}({c}), '%Y-%m-%d %H:%M:%S.%f')" if c.endswith("_at") else f"CAST({f}({c}) AS VARCHAR)"
+    stats = " UNION ALL ".join(f"SELECT {g} AS load_id, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, count(DISTINCT {c}) AS n_distinct, {shown(c, 'min')} AS least, {shown(c, 'max')} AS greatest FROM {name} GROUP BY {g}" for c in columns)
+    masks = f"SELECT {g} AS load_id, c, m, any_value(dominant) AS dominant, any_value(unruly) AS unruly, sum(n) AS n FROM u WHERE t = '{name}' GROUP BY ALL"
+    folded = f"SELECT load_id, c, count(*) AS n_masks, string_agg(m, ' | ' ORDER BY m) FILTER (WHERE dominant) AS dominant_masks, sum(CASE WHEN dominant OR unruly THEN 0 ELSE n END) AS rare_rows FROM ({masks}) GROUP BY load_id, c"
+    return f"""SELECT '{name}' AS table_name, '{scope}' AS scope, s.load_id, s.column_name, n_rows, n_nulls, n_nulls / n_rows AS null_rate, n_distinct, least, greatest,
+  coalesce((SELECT ['tail', 'class', 'runs'][k + 1] FROM lev WHERE t = '{name}' AND lev.c = s.column_name), 'none') AS level,
+  coalesce(n_masks, 0) AS n_masks, dominant_masks, CAST(coalesce(rare_rows, 0) AS BIGINT) AS rare_rows
+FROM ({stats}) s LEFT JOIN ({folded}) k ON k.c = s.column_name AND k.load_id IS NOT DISTINCT FROM s.load_id"""
+
 
 ORACLE = {
     "p1_found": _TREE
@@ -215,9 +269,14 @@ FROM r b JOIN r a ON a.d = b.d AND a.root = b.root AND (b.path = a.path OR start
     "p3_counts": _ORPHANS + " SELECT table_name, ref_month, reason, count(*) AS n_orphans FROM bad GROUP BY ALL",
     "p4_found": _P4,
     "p5_found": _P5,
-    "p5_rare_masks": _MASKS + """, c AS (SELECT column_name, mask, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY column_name) AS whole FROM counts WHERE mask IS NOT NULL GROUP BY 1, 2)
-SELECT column_name, mask, CAST(n AS BIGINT) AS n FROM c WHERE n / whole < 0.05""",
-    "p5_divergence": _MASKS + """, p AS (SELECT load_id, column_name, coalesce(mask, chr(0)) AS mask, n / sum(n) OVER (PARTITION BY load_id, column_name) AS p FROM counts),
+    "p5_rare_masks": _MASKS + " SELECT n.t AS table_name, n.c AS column_name, name AS level, m AS mask, n FROM n JOIN lev ON lev.t = n.t AND lev.c = n.c AND lev.k = n.k WHERE n / whole < 0.02",
+    "p5_rare_rows": _MASKS + """ SELECT m.t AS table_name, m.c AS column_name, coalesce(load_id, 0) AS load_id, row_id, m.m AS mask FROM m JOIN lev ON lev.t = m.t AND lev.c = m.c AND lev.k = m.k
+  JOIN n ON n.t = m.t AND n.c = m.c AND n.k = m.k AND n.m = m.m WHERE n / whole < 0.02""",
+    "p5_profile": _DISTINCT_MASKS + " " + " UNION ALL ".join([
+        _profiled("detail", _P5_COLUMNS, _TEXT_COLUMNS, "load"), _profiled("detail", [*_P5_COLUMNS, "load_id"], _TEXT_COLUMNS, "table"), _profiled("metadata", ["meta_id", *_META_COLUMNS, "created_at", "deleted_at"], _META_COLUMNS, "table"),
+    ]),
+    "p5_divergence": f"""WITH v AS ({_CELLS}), x AS (SELECT load_id, c, v, CASE WHEN txt THEN {_CLASSED} ELSE v END AS m FROM v WHERE t = 'detail' AND c <> 'load_id'),
+counts AS (SELECT load_id, c AS column_name, substr(m, 1, greatest(length(m) - 2, 0)) || right(v, 2) AS mask, count(*) AS n FROM x GROUP BY ALL)""" + """, p AS (SELECT load_id, column_name, coalesce(mask, chr(0)) AS mask, n / sum(n) OVER (PARTITION BY load_id, column_name) AS p FROM counts),
 b AS (SELECT load_id, lag(load_id) OVER (PARTITION BY feed_code ORDER BY load_seq) AS prev FROM load_log),
 k AS (SELECT b.load_id, b.prev, column_name FROM b JOIN (SELECT DISTINCT load_id, column_name FROM p) x ON x.load_id = b.load_id WHERE prev IN (SELECT load_id FROM p)),
 u AS (SELECT k.load_id, k.column_name, mask, p, 0.0 AS q FROM k JOIN p ON p.load_id = k.load_id AND p.column_name = k.column_name
