@@ -1,5 +1,8 @@
+import time
+
 import pytest
 
+import residue_texts
 from ruleframe.llm import residue
 from ruleframe.llm.residue import kinds
 
@@ -46,3 +49,37 @@ def test_explained_fields(text):
 @pytest.mark.parametrize("text", ["Serverfehler.", "Rede wird nachgereicht.", "Wortlaut wird nachgereicht.", "This document does not exist.", "This document is not available.", "The record you are looking for could not be shown."])
 def test_every_sentence_meets_the_grammars(text):
     assert kinds(text) and kinds(f"I thank the House for its patience.\n{text}")
+
+
+def test_accuracy_on_everyday_texts():
+    for name, least in (("SEEN", 1.0), ("HELD", 0.9)):
+        bad, good = getattr(residue_texts, f"{name}_RESIDUE"), getattr(residue_texts, f"{name}_CLEAN")
+        found, wrong = sum(map(bool, map(kinds, bad))), sum(map(bool, map(kinds, good)))
+        assert found >= least * len(bad) and found >= 0.9 * (found + wrong), name
+
+
+def test_one_trigger_for_every_rule():
+    """Without the automaton's hint, each sentence alone comes out the same."""
+    texts = [*BAD, *GOOD, *residue_texts.SEEN_RESIDUE, *residue_texts.SEEN_CLEAN, *residue_texts.HELD_RESIDUE, *residue_texts.HELD_CLEAN]
+    with_hint = [kinds(t) for t in texts]
+    was, residue._triggered = residue._triggered, lambda _: True
+    try:
+        assert [kinds(t) for t in texts] == with_hint
+    finally:
+        residue._triggered = was
+
+
+def test_long_stretches():
+    """Whole texts are read: quotations, brackets and names of any length."""
+    long = " ".join("a slow grey barge with coal for the northern mills came down to our old lock".split()[k * k % 13] for k in range(300))
+    assert kinds(f"“{long} please enable JavaScript {long}” is what they saw.") == []
+    assert kinds(f"[Note: {long} 404 Not Found]") == [] and kinds(f"{long}.\n404 Not Found") == ["notice"]
+    assert kinds("Ann Bo Cy Di Ed Flo Gus Hal Ida Please enable JavaScript to continue.") == ["notice"]
+    assert kinds("{{ " + "x" * 500 + " | default }}") == ["placeholder"] and kinds(f"[INSERT {long} HERE]") == ["placeholder"]
+
+
+def test_time_is_linear():
+    for text in ("AAA " * 40_000, "[" * 40_000, "“" * 40_000, "{ " * 40_000, "Bo " * 40_000 + "x", "<a " * 40_000, "( " * 40_000):
+        began = time.perf_counter()
+        kinds(text)
+        assert time.perf_counter() - began < 5
