@@ -54,6 +54,12 @@ def p8_shares_all(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_target"), "all")
 
 
+def p8_temperature(spark: SparkSession, d: str) -> DataFrame:
+    """The natural shares under one exponent for all sources, bisected to the entropy of the target shares, at the
+    largest total that the repetition limits allow: what temperature alone makes of the sources."""
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_target"), goal_entropy="target")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_residue(table(spark, d, "documents")).select("doc_id")
 
@@ -63,7 +69,7 @@ def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count("*").alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p7_found, p7_near, p8_mix, p8_shares, p8_shares_all, p9_found, p9_kinds)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p7_found, p7_near, p8_mix, p8_shares, p8_shares_all, p8_temperature, p9_found, p9_kinds)}
 
 ORACLE = {
     "p7_found": r"""WITH w AS (
