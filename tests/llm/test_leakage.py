@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from ruleframe.llm import leakage
 
 
@@ -22,11 +24,14 @@ def test_myers_distance():
         assert leakage.myers(a, b) == edit(a, b)
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("bound", [500_000, 0])
+def test_against_brute_force(spark, monkeypatch, bound):
+    """Items held by tasks, and items exchanged."""
+    monkeypatch.setattr(leakage, "WORDS_IN_A_TASK", bound)
     r = random.Random(9)
     vocabulary = [f"w{i}" for i in range(12)]
     say = lambda n: [r.choice(vocabulary) for _ in range(n)]
-    items = [(i, say(r.randrange(3, 25))) for i in range(12)] + [(99, say(4))]
+    items = [(i, say(r.randrange(3, 25))) for i in range(12)] + [(99, say(4)), (98, say(2))]
     docs = []
     for d in range(60):
         ws = say(r.randrange(0, 30))
@@ -41,9 +46,9 @@ def test_against_brute_force(spark):
     want = {}
     for d, text in docs:
         for i, ws in items:
-            windows = [ws[k : k + window] for k in range(len(ws) - window + 1)]
+            windows = [ws[k : k + window] for k in range(len(ws) - window + 1)] or [ws]
             far = min((edit(w, leakage.words(text)) for w in windows), default=9)
-            if far <= budget:
+            if far <= (budget if len(ws) >= window else 0):
                 want[d, i] = far
     assert 0 in want.values() and 1 in want.values()
     frame = spark.createDataFrame(docs + [(None, "x"), (100, None), (101, "")], "doc_id long, text string")
@@ -52,13 +57,23 @@ def test_against_brute_force(spark):
     assert {(x.doc_id, x.item_id): x.distance for x in found} == want and len(found) == len(want)
 
 
-def test_passes_and_empty(spark, monkeypatch):
+@pytest.mark.parametrize("bound", [500_000, 50])
+def test_repeats_and_empty(spark, monkeypatch, bound):
+    monkeypatch.setattr(leakage, "WORDS_IN_A_TASK", bound)
     text = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
     items = spark.createDataFrame([(i, text) for i in range(5)], "item_id long, text string")
-    monkeypatch.setattr(leakage, "WORDS_IN_ONE_PASS", 50)
-    assert leakage.find_leaks(docs, items).count() == 10
+    assert leakage.find_leaks(docs, items).distinct().count() == 5
     assert leakage.find_leaks(docs, items.limit(0)).count() == 0 and leakage.find_leaks(docs.limit(0), items).count() == 0
+    assert leakage.find_leaks(docs, spark.createDataFrame([(1, "w39"), (2, "w39 w40"), (3, "")], items.schema)).select("item_id", "item_words").distinct().collect() == [(1, 1)]
+
+
+def test_same_on_the_tables_either_way(spark, monkeypatch):
+    """All documents and items: exchanged items give what held ones give, distances included."""
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "eval_item"))
+    held = {tuple(r) for r in leakage.find_leaks(docs, items).collect()}
+    monkeypatch.setattr(leakage, "WORDS_IN_A_TASK", 0)
+    assert held and {tuple(r) for r in leakage.find_leaks(docs, items).collect()} == held
 
 
 def test_very_long_text(spark):
@@ -66,3 +81,32 @@ def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, "hay " * 300_000 + passage + " hay" * 300_000)], "doc_id long, text string")
     items = spark.createDataFrame([(5, passage)], "item_id long, text string")
     assert leakage.find_leaks(docs, items).first().distance == 0
+
+
+def test_near_copies_all_found_on_whole_tables(spark):
+    """Edit distance 1 enumerated another way: equal after one word is left out of either side, or of both at one place."""
+    def without(ws):
+        return [(k, *ws[:k], *ws[k + 1 :]) for k in range(len(ws))]
+
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "eval_item"))
+    whole, changed, longer = {}, {}, {}
+    for i, text in items.select("item_id", "text").collect():
+        ws = leakage.words(text)
+        for k in range(len(ws) - 12):
+            w = tuple(ws[k : k + 13])
+            whole.setdefault(w, set()).add(i)
+            for x in without(w):
+                changed.setdefault(x, set()).add(i)
+                longer.setdefault(x[1:], set()).add(i)
+    want = set()
+    for d, text in docs.where("text is not null").select("doc_id", "text").collect():
+        ws, found = leakage.words(text), set()
+        for k in range(len(ws)):
+            for x in without(ws[k : k + 13]) if len(ws) - k >= 13 else ():
+                found |= changed.get(x, set())
+            found |= longer.get(tuple(ws[k : k + 12]), set())
+            for x in without(ws[k : k + 14]) if len(ws) - k >= 14 else ():
+                found |= whole.get(x[1:], set())
+        want |= {(d, i) for i in found}
+    got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(docs, items).where("item_words >= 13").collect()}
+    assert len(want) > 20 and got == want
