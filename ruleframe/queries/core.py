@@ -77,14 +77,31 @@ def _books(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    found = drift.changes(cut(_books(spark, d)))
+    found = drift.changes(_books(spark, d))
     return found.select(F.col("series.t").alias("table_name"), F.col("series.s").alias("series"), F.col("file").alias("file_no"), F.col("field").alias("field_name"), "change", "new_field")
 
 
-def p4_unified(spark: SparkSession, d: str) -> DataFrame:
+def _unified(spark: SparkSession, d: str) -> DataFrame:
     records = cut(_books(spark, d))
-    one = drift.unify(records, cut(drift.changes(records)))
-    return one.select(F.col("series.t").alias("table_name"), F.col("series.s").alias("series"), F.col("file").alias("file_no"), F.col("rec").alias("record_key"), F.to_json("fields").alias("fields"))
+    return drift.unify(records, cut(drift.changes(records)))
+
+
+def p4_unified(spark: SparkSession, d: str) -> DataFrame:
+    """Every value of every record under its field's last name; records without fields as one row of nulls."""
+    one = drift.cells(_unified(spark, d))
+    return one.select(F.col("series.t").alias("table_name"), F.col("series.s").alias("series"), F.col("file").alias("file_no"), F.col("rec").alias("record_key"), F.col("field").alias("field_name"), "kind", "value")
+
+
+def p4_schedule_table(spark: SparkSession, d: str) -> DataFrame:
+    """All files of all schedule books as one typed table."""
+    one = drift.as_columns(cut(_unified(spark, d).where("series.t = 'schedule'")))
+    return one.withColumns({"series": F.col("series.s"), "rec": F.col("rec")}).withColumnsRenamed({"file": "file_no", "rec": "step_order"})
+
+
+def p4_sheet_table(spark: SparkSession, d: str) -> DataFrame:
+    """All files of all sheets as one typed table."""
+    one = drift.as_columns(cut(_unified(spark, d).where("series.t = 'sheet_rows'")))
+    return one.withColumns({"series": F.col("series.s"), "rec": F.col("rec").cast("int")}).withColumnsRenamed({"series": "input_sheet_name", "file": "file_no", "rec": "row_key"})
 
 
 #: The declared forms: mined masks are accepted only as far as their values keep them.
@@ -147,7 +164,7 @@ def p5_divergence(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("divergence", F.round("divergence", 6) + 0.0)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p3_found, p3_counts, p4_found, p4_unified, p5_found, p5_profile, p5_rare_masks, p5_rare_rows, p5_divergence, p6_found, p6_values, p6_all_values)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p3_found, p3_counts, p4_found, p4_unified, p4_schedule_table, p4_sheet_table, p5_found, p5_profile, p5_rare_masks, p5_rare_rows, p5_divergence, p6_found, p6_values, p6_all_values)}
 
 _TREE = """WITH RECURSIVE m AS (
   SELECT dimension AS d, element_code AS c, min(CASE WHEN trim(parent) <> '' THEN parent END) AS p FROM metadata
@@ -268,6 +285,14 @@ FROM r b JOIN r a ON a.d = b.d AND a.root = b.root AND (b.path = a.path OR start
     "p3_found": _ORPHANS + " SELECT table_name, row_id, reason, ref_month FROM bad",
     "p3_counts": _ORPHANS + " SELECT table_name, ref_month, reason, count(*) AS n_orphans FROM bad GROUP BY ALL",
     "p4_found": _P4,
+    "p4_unified": _P4.replace("WITH src", "WITH RECURSIVE src").partition("SELECT t AS table_name")[0] + """,
+walk AS (SELECT DISTINCT t, s, f, k, k AS cur, f AS upto FROM cells
+  UNION ALL SELECT w.t, w.s, w.f, w.k, r.new, r.f FROM walk w JOIN ren r ON r.t = w.t AND r.s = w.s AND r.old = w.cur AND r.f > w.upto
+  WHERE r.f = (SELECT min(x.f) FROM ren x WHERE x.t = w.t AND x.s = w.s AND x.old = w.cur AND x.f > w.upto)),
+final AS (SELECT t, s, f, k, arg_max(cur, upto) AS cur FROM walk GROUP BY t, s, f, k)
+SELECT t AS table_name, s AS series, f AS file_no, r AS record_key, cur AS field_name, kind, v AS value
+FROM (SELECT t, s, f, r, e.key AS k, CASE WHEN e.type <> 'NULL' THEN e.value ->> '$' END AS v,
+  CASE e.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind FROM one, json_each(j) e) JOIN final USING (t, s, f, k)""",
     "p5_found": _P5,
     "p5_rare_masks": _MASKS + " SELECT n.t AS table_name, n.c AS column_name, name AS level, m AS mask, n FROM n JOIN lev ON lev.t = n.t AND lev.c = n.c AND lev.k = n.k WHERE n / whole < 0.02",
     "p5_rare_rows": _MASKS + """ SELECT m.t AS table_name, m.c AS column_name, coalesce(load_id, 0) AS load_id, row_id, m.m AS mask FROM m JOIN lev ON lev.t = m.t AND lev.c = m.c AND lev.k = m.k

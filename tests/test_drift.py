@@ -78,3 +78,39 @@ def test_records_without_key_are_kept(spark):
     records = drift.parse(spark.createDataFrame(data, S), "s", "f", "r", "j", "at")
     found = sorted((x.file, x.rec or 0, *x.fields.items()) for x in drift.unify(records, drift.changes(records)).collect())
     assert found == [(1, 0, ("a", "1")), (1, 0, ("b", "2")), (1, 0, ("b", "2")), (1, 1, ("c", "3")), (2, 0, ("a", "1")), (2, 0, ("b", "2")), (2, 1, ("c", "3"))]
+
+
+def test_one_typed_table(spark):
+    data = [
+        row(1, 1, {"Rate": 1.5, "ok": True, "tag ": ["x"], "n": 1}), row(1, 2, {"Rate": 2, "ok": None, "n": "one"}), row(2, 1, {"rate_v2": 1.5, "ok": True, "tag ": ["x"], "n": 1}), row(2, 2, {"rate_v2": 2, "n": "one"}),
+        row(1, 1, {"RATE": 7, "rate1": 8, "tag": {"a": 1}}, s="b"), row(1, 2, {}, s="b"), row(1, 3, None, s="b"),
+    ]
+    records = drift.parse(spark.createDataFrame(data, S), "s", "f", "r", "j", "at")
+    one = drift.as_columns(drift.unify(records, drift.changes(records)))
+    assert dict(one.dtypes) == {"series": "string", "file": "int", "rec": "int", "n": "string", "ok": "boolean", "RATE": "double", "rate_2": "double", "rate1": "double", "tag": "string"}
+    found = {(x.series, x.file, x.rec): x.asDict() for x in one.collect()}
+    assert len(found) == 7 and found["a", 1, 1]["rate_2"] == 1.5 and found["a", 2, 2]["rate_2"] == 2.0 and found["a", 2, 2]["n"] == "one" and found["a", 1, 1]["n"] == "1"
+    assert found["b", 1, 1]["RATE"] == 7.0 and found["b", 1, 1]["rate1"] == 8.0 and found["b", 1, 1]["tag"] == '{"a":1}' and found["a", 1, 1]["tag"] == '["x"]'
+    assert drift.as_columns(drift.unify(records, drift.changes(records)).limit(0)).count() == 0
+
+
+def test_hot_series_and_salts(spark, monkeypatch):
+    """One series with most of the records is cut by record; the changes stay."""
+    monkeypatch.setattr(drift, "heavy_keys", lambda counted, keys, n, share: counted.where("n > 50").select(*keys))
+    data = [row(f, k, {("a" if f < 3 else "A"): k, "b": str(k) if f < 2 else k, "c": None}) for f in (1, 2, 3) for k in range(200)] + [row(1, 1, {"x": 1}, s="z"), row(2, 1, {"y": 1}, s="z"), row(2, None, {"y": 2}, s="z"), row(3, None, {"c": 2})]
+    assert changes(spark, data) == [("a", 2, "b", "retyped", ""), ("a", 3, "a", "renamed", "A"), ("z", 2, "x", "renamed", "y")]
+
+
+def test_wide_ties_are_matched_by_name():
+    r = random.Random(8)
+    names = [f"field_{chr(97 + k % 26)}{chr(97 + k // 26)}_amount" for k in range(120)]
+    stops, starts = [(n, 1, 0, 0) for n in names], [(n.upper(), 1, 0, 0) for n in names]
+    r.shuffle(starts)
+    assert all(starts[j][0] == stops[i][0].upper() for i, j in drift.match(stops, starts).items())
+    assert len(drift.match(stops, starts[:50])) == 50 and drift.match([], starts) == {}
+
+
+def test_plain_names_either_way(spark):
+    names = ["Net Amount", "netAmount", "net-amount_v2", "rate1", " rate ", "成本中心", "Übertrag", "v2", "", "__x__"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r[0] for r in df.select(drift._plain_column(df["n"])).collect()] == [drift._plain(n) for n in names]
