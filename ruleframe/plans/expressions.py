@@ -276,6 +276,14 @@ def column(df: DataFrame, name: str) -> Typed:
     return F.coalesce(q(name).cast("string"), F.lit("0")), "str"
 
 
+def names_in(text: str) -> set[str]:
+    """The names an expression uses; none if it cannot be read."""
+    try:
+        return {n.id for n in ast.walk(ast.parse(text.strip(), mode="eval")) if isinstance(n, ast.Name)}
+    except SyntaxError:
+        return set()
+
+
 def compile_expression(df: DataFrame, text: str) -> Typed:
     try:
         tree = ast.parse(text.strip(), mode="eval")

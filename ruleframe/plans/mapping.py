@@ -1,7 +1,12 @@
 """Prioritised multi-condition mapping: rules to layered outputs with a trace.
 
-Rules are matched against the distinct combinations of the condition columns, not against rows. Equality conditions
-are hash-join keys; pattern conditions are tested only where the equality conditions of the same rule already hold.
+Rules are matched against the distinct combinations of the condition columns, not against rows. Equality conditions are
+join keys; a pattern is tested against the distinct values of its own column, and what it matches is a join key again.
+
+The batches of a table run one after the other over the distinct combinations of all columns that any rule reads or
+writes, each written once; the rows themselves are read once for those combinations and once for the result, however
+many batches there are. Where rules compute from columns that are no conditions (amounts, say), combinations are as many
+as rows; then the rows go through the batches, written once a batch.
 """
 
 from __future__ import annotations
@@ -17,13 +22,17 @@ from pyspark.sql import functions as F
 
 from ruleframe.errors import RuleError
 from ruleframe.functions.columns import kind, q
+from ruleframe.operators.sizes import BROADCAST_ROWS, small
 from ruleframe.operators.unify import union_relaxed
-from ruleframe.plans.expressions import compile_expression
+from ruleframe.plans.expressions import compile_expression, names_in
+from ruleframe.storage import cut
 
 #: Rule tables shape the plan and are held by the driver.
 MOST_RULES = 200_000
 KEEP, KEEP_YES = "keep_row", "是"
-_PATTERN, _VARIABLE, _EXPRESSION = re.compile(r"reg\{(.*)\}", re.S), re.compile(r"var\{(.*?)\}(?:->reg\{(.*)\})?", re.S), re.compile(r"exp\{(.*)\}", re.S)
+_PATTERN, _VARIABLE, _EXPRESSION = re.compile(r"reg\{(.*)\}", re.S), re.compile(r"var\{([^{}]*)\}(?:->reg\{(.*)\})?", re.S), re.compile(r"exp\{(.*)\}", re.S)
+# The headers under which wide rule tables name a rule's conditions, its priority and its code.
+_WIDE = {"映射规则类型": "rule_dimension", "映射优先顺序": "priority", "映射规则编码": "mapping_code"}
 
 
 @dataclass(frozen=True)
@@ -85,6 +94,41 @@ def read_rules(rows: DataFrame | list[dict[str, Any]]) -> dict[float, list[Rule]
     return dict(sorted(out.items()))
 
 
+def read_wide_rules(rows: DataFrame | list[dict[str, Any]], outputs: list[str]) -> list[Rule]:
+    """The rules of a wide table: ``rule_dimension`` names the condition columns as ``A+B`` (blank: no condition), which
+    hold the values; ``priority``, ``mapping_code`` and the ``outputs`` columns, under these or their Chinese headers."""
+    if isinstance(rows, DataFrame):
+        rows = [r.asDict() for r in rows.limit(MOST_RULES + 1).collect()]
+    if len(rows) > MOST_RULES:
+        raise RuleError(f"a rule table has at most {MOST_RULES} rows")
+    out = []
+    for i, given in enumerate(rows):
+        r = {_WIDE.get(k, k): _cell(v) for k, v in given.items()}
+        lacking = [c for c in ("priority", "mapping_code", *outputs) if c not in r]
+        if lacking:
+            raise RuleError(f"the rule table lacks {lacking}")
+        if isinstance(r["priority"], bool) or not isinstance(r["priority"], (int, float)):
+            raise RuleError(f"rule row {i + 1}: priority must be a number")
+        names = [n.strip() for n in str(r.get("rule_dimension") or "").split("+") if n.strip()]
+        absent = [n for n in names if n not in r]
+        if absent:
+            raise RuleError(f"rule row {i + 1}: the table has no columns {absent}")
+        out.append(Rule(1.0, r["priority"], str(r["mapping_code"]), i, {n: "" if r[n] is None else str(r[n]) for n in names}, {o: r[o] for o in outputs}))
+    _values_checked(out)
+    return out
+
+
+def _values_checked(rules: list[Rule]) -> None:
+    """Outputs that speak of ``exp{`` or ``var{`` must be such a value as a whole."""
+    for r in rules:
+        for v in r.outputs.values():
+            s = "" if v is None else str(v).strip()
+            if "exp{" in s and not _EXPRESSION.fullmatch(s):
+                raise RuleError(f"rule {r.code}: malformed expression {v!r}")
+            if "exp{" not in s and "var{" in s and not ((m := _VARIABLE.fullmatch(s)) and (m.group(2) is not None or "reg{" not in s)):
+                raise RuleError(f"rule {r.code}: malformed variable {v!r}")
+
+
 def _validate(order: float, rules: list[Rule]) -> None:
     types: dict[float, set[tuple[str, ...]]] = defaultdict(set)
     for r in rules:
@@ -96,6 +140,7 @@ def _validate(order: float, rules: list[Rule]) -> None:
     for priority, seen in types.items():
         if len(seen) > 1:
             raise RuleError(f"order {order}, priority {priority}: rules of different condition fields {sorted(seen)}")
+    _values_checked(rules)
     repeated = [k for k, n in Counter((r.priority, tuple(r.conditions.items())) for r in rules if r.conditions).items() if n > 1]
     if repeated:
         raise RuleError(f"order {order}: repeated conditions {repeated[:3]}")
@@ -126,15 +171,23 @@ def _hits(combos: DataFrame, rules: list[Rule], fields: list[str]) -> DataFrame:
     kinds |= {((), ()): [r] for r in first_free.values()}
     outs = [f"__o{k}" for k in range(len(fields))]
     parts = []
+    text = lambda n: F.coalesce(q(n).cast("string"), F.lit(""))
     for (names, shape), some in kinds.items():
         keys = [f"__c{k}" for k in range(len(names))]
         value = lambda v, s: java_pattern(_PATTERN.fullmatch(v.strip()).group(1)) if s else v
         rows = [(*[value(v, s) for v, s in zip(r.conditions.values(), shape)], float(r.priority), r.ordinal, r.code, *[None if (v := r.outputs.get(f)) is None else str(v) for f in fields]) for r in some]
         schema = ", ".join([*[f"{k} string" for k in keys], "__prio double", "__ord long", "__code string", *[f"{o} string" for o in outs]])
-        table = F.broadcast(spark.createDataFrame(rows, schema))
-        text = lambda n: F.coalesce(q(n).cast("string"), F.lit(""))
-        tests = [F.rlike(text(n), F.col(k)) if s else text(n) == F.col(k) for n, k, s in zip(names, keys, shape)]
-        met = combos.join(table, reduce(lambda a, b: a & b, tests)) if tests else combos.join(table, F.lit(True))
+        table = spark.createDataFrame(rows, schema)
+        met, tests = combos, []
+        for k, (n, s) in enumerate(zip(names, shape)):
+            if s:
+                # the few distinct patterns against the distinct values of their column
+                patterns = F.broadcast(spark.createDataFrame(sorted({(r[k],) for r in rows}), f"__p{k} string"))
+                found = combos.select(text(n).alias(f"__v{k}")).distinct().join(patterns, F.rlike(F.col(f"__v{k}"), F.col(f"__p{k}")))
+                met = met.join(found, text(n) == F.col(f"__v{k}"))
+            tests.append((F.col(f"__p{k}") if s else text(n)) == F.col(keys[k]))
+        table = F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
+        met = met.join(table, reduce(lambda a, b: a & b, tests, F.lit(True)))
         parts.append(met.select(*[q(d) for d in dims], "__prio", "__ord", "__code", *outs))
     if not parts:  # malformed patterns match nothing
         return combos.limit(0).select(*[q(d) for d in dims], F.lit(0.0).alias("__prio"), F.lit(0).cast("long").alias("__ord"), F.lit("").alias("__code"), *[F.lit("").alias(o) for o in outs])
@@ -172,10 +225,11 @@ def _resolve(df: DataFrame, raw: Column, values: list[str]) -> Column:
     return out.otherwise(raw) if plain else out
 
 
-def map_batch(df: DataFrame, rules: list[Rule]) -> DataFrame:
+def map_batch(df: DataFrame, rules: list[Rule], sequential: bool = False) -> DataFrame:
     """``df`` with ``__out_<field>`` for each output field and ``__trace``: the codes of all rules hit, by priority.
 
-    Each field takes the last non-null value by priority; equal priorities go by rule row. No hit: all null.
+    Each field takes the last non-null value by priority; equal priorities go by rule row. No hit: all null. Computed
+    values see the columns of ``df``; ``sequential`` lets a later field see the results of earlier ones under their names.
     """
     fields = list(dict.fromkeys(f for r in rules for f in r.outputs))
     dims = list(dict.fromkeys(c for r in rules for c in r.conditions))
@@ -193,13 +247,36 @@ def map_batch(df: DataFrame, rules: list[Rule]) -> DataFrame:
         met = df.join(picked, reduce(lambda a, b: a & b, [q(d).eqNullSafe(F.col(f"__d{k}")) for k, d in enumerate(dims)]), "left").drop(*[f"__d{k}" for k in range(len(dims))])
     else:
         met = df.join(F.broadcast(hits.groupBy().agg(*best, trace)), F.lit(True), "left")
-    for k, f in enumerate(fields):  # in order: a later field may use an earlier result
+    hidden = {}
+    for k, f in enumerate(fields):
         values = sorted({str(r.outputs[f]) for r in rules if r.outputs.get(f) is not None})
-        scope = df
-        met = met.withColumn(f"__out_{f}", _resolve(scope, F.col(f"__raw{k}"), values))
+        made = _resolve(met if sequential else df, F.col(f"__raw{k}"), values)
+        met = met.withColumn(f"__out_{f}", made)
+        if sequential:
+            if f in met.columns:
+                hidden[f] = f"__in_{k}"
+                met = met.withColumnRenamed(f, hidden[f])
+            met = met.withColumn(f, q(f"__out_{f}"))
+    if sequential:
+        met = met.drop(*fields).withColumnsRenamed({v: k for k, v in hidden.items()})
+        return met.select(*[q(c) for c in df.columns], *[q(f"__out_{f}") for f in fields], "__trace")
     return met.drop(*[f"__raw{k}" for k in range(len(fields))])
 
 
+def map_n(df: DataFrame, rows: DataFrame | list[dict[str, Any]], outputs: list[str], miss_ok: bool = True, drop_if_exists: bool = True) -> DataFrame:
+    """One batch of wide rules as a library call: ``df`` with the ``outputs`` and ``map_trc_<output>``, null where no rule
+    is hit. Computed values see earlier outputs. Columns of these names are replaced, or refused."""
+    new = [*outputs, *[f"map_trc_{o}" for o in outputs]]
+    there = [c for c in new if c in df.columns]
+    if there and not drop_if_exists:
+        raise RuleError(f"the input already has {there}")
+    df = df.drop(*there)
+    met = map_batch(df, read_wide_rules(rows, outputs), sequential=True)
+    if not miss_ok and (n := met.where("__trace is null").count()):
+        raise RuleError(f"{n} rows are hit by no rule")
+    return met.select(*[q(c) for c in df.columns], *[q(f"__out_{o}").alias(o) for o in outputs], *[F.col("__trace").alias(f"map_trc_{o}") for o in outputs])
+
+
 @dataclass(frozen=True)
 class Mapped:
     result: DataFrame
@@ -207,22 +284,51 @@ class Mapped:
     """Rows a batch had no rule for, as they entered it, with ``miss_order_execution``; they go no further."""
 
 
+def _read(batches: dict[float, list[Rule]], columns: list[str]) -> tuple[list[str], bool]:
+    """The columns that rules read or write, and whether computed values differ between rows that are alike in these."""
+    rules = [r for some in batches.values() for r in some]
+    known = {c for r in rules for c in (*r.conditions, *r.outputs)}
+    computed: set[str] = set()
+    for v in {str(v).strip() for r in rules for v in r.outputs.values() if v is not None}:
+        if m := _VARIABLE.fullmatch(v):
+            computed.add(m.group(1))
+        elif m := _EXPRESSION.fullmatch(v):
+            computed |= names_in(m.group(1))
+    return [c for c in columns if c in known], bool((computed - known) & set(columns)) or "__UUID__" in computed
+
+
 def map_table(df: DataFrame, rows: DataFrame | list[dict[str, Any]]) -> Mapped:
     """All batches one after the other. Outputs replace columns of the same name, with nulls too; only rows whose
     ``keep_row`` came out as 是 go on. ``keep_row`` and ``map_trc_<field>`` stay in the result."""
+    batches = read_rules(rows)
+    if not batches:
+        return Mapped(df, df.limit(0).withColumn("miss_order_execution", F.lit(0.0)))
+    base, by_row = _read(batches, df.columns)
+    keys = {} if by_row else {c: f"__k{i}" for i, c in enumerate(base)}
+    work = df if by_row else cut(df.select(*[q(c) for c in base]).distinct()).withColumns({k: q(c) for c, k in keys.items()})
     missed: list[DataFrame] = []
-    for order, rules in read_rules(rows).items():
+    for n, (order, rules) in enumerate(batches.items()):
         fields = list(dict.fromkeys(f for r in rules for f in r.outputs))
-        met = map_batch(df, rules)
-        missed.append(met.where("__trace is null").select(*[q(c) for c in df.columns], F.lit(float(order)).alias("miss_order_execution")))
+        work = cut(work) if n else work
+        met = map_batch(work, rules)
+        missed.append(met.where("__trace is null").select(*[q(c) for c in work.columns], F.lit(float(order)).alias("miss_order_execution")))
         new = [*fields, *[f"map_trc_{f}" for f in fields]]
-        df = met.where("__trace is not null").select(
-            *[q(c) for c in df.columns if c not in new], *[q(f"__out_{f}").alias(f) for f in fields], *[F.col("__trace").alias(f"map_trc_{f}") for f in fields]
+        work = met.where("__trace is not null").select(
+            *[q(c) for c in work.columns if c not in new], *[q(f"__out_{f}").alias(f) for f in fields], *[F.col("__trace").alias(f"map_trc_{f}") for f in fields]
         )
-        df = df.where(F.col(KEEP) == KEEP_YES)
-    if not missed:
-        return Mapped(df, df.limit(0).withColumn("miss_order_execution", F.lit(0.0)))
-    return Mapped(df, union_relaxed(missed))
+        work = work.where(F.col(KEEP) == KEEP_YES)
+    if by_row:
+        return Mapped(work, union_relaxed(missed))
+
+    def spread(found: DataFrame) -> DataFrame:
+        """What holds for a combination, for its rows."""
+        named = [c for c in found.columns if c not in keys.values()]
+        found = small(cut(found)).withColumnsRenamed({c: f"__w_{c}" for c in named})
+        same = [q(c).eqNullSafe(F.col(k)) for c, k in keys.items()]
+        rest = [c for c in df.columns if c not in named]
+        return df.join(found, reduce(lambda a, b: a & b, same, F.lit(True))).select(*[q(c) for c in rest], *[q(f"__w_{c}").alias(c) for c in named])
+
+    return Mapped(spread(work), spread(union_relaxed(missed)))
 
 
 def mapping_1t(df: DataFrame, rows: DataFrame | list[dict[str, Any]], miss_ok: bool = True) -> DataFrame:

@@ -163,3 +163,69 @@ def test_whole_rule_table(spark):
             want.append((row.detail_id, line, trace, missed))
     found = sorted(tuple(r) for r in steps.map_table_layers(spark, d).collect())
     assert found == sorted(want) and any(r[1] for r in found)
+
+
+def _rules(*given):
+    """(code, conditions, outputs, order) each, with priorities in the order given."""
+    out = []
+    for n, (code, conditions, outputs, order) in enumerate(given):
+        row = {"order_execution": order, "priority": n + 1, "mapping_code": code, "keep_row": "是"}
+        for kind, pairs in (("source", conditions), ("output", outputs)):
+            for k, (f, v) in enumerate(pairs.items(), 1):
+                row |= {f"{kind}_field_{k}": f, f"{kind}_code_{k}": v}
+        out.append(row)
+    return out
+
+
+@pytest.mark.parametrize("value", ["exp{k + 1} x", "exp{k", "x exp{k}", "var{k", "var{k}x", "var{k}->reg{a", "var{k}->xreg{a}"])
+def test_malformed_values_are_errors(spark, value):
+    df = spark.createDataFrame([(1, "a")], "k int, s string")
+    with pytest.raises(RuleError):
+        mapping.map_table(df, _rules(("r", {}, {"o": value}, 1)))
+
+
+@pytest.mark.parametrize("by_row", [False, True])
+def test_batches_are_linear(spark, tmp_path, by_row):
+    """Eight batches, each a step on a column: one plan of few scans, and the same as step by step."""
+    at = str(tmp_path / "t.parquet")
+    spark.range(200).selectExpr("id", "cast(id % 7 as string) c", "id * 1.5 v").write.parquet(at)
+    df = spark.read.parquet(at)
+    given = [(f"a{n}{x}", {"c": str((x + n) % 7)}, {"c": str((x + n + 1) % 7)} | ({"w": "exp{v * 2}"} if by_row else {}), n) for n in range(8) for x in range(7 if n != 5 else 6)]
+    # the seventh value is missed in batch 5
+    done = mapping.map_table(df, [{**r, "priority": 1} for r in _rules(*given)])
+    plan = done.result._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") + plan.count("Scan parquet") <= 8 and "CartesianProduct" not in plan
+    got = {r.id: (r.c, r.map_trc_c) for r in done.result.collect()}
+    assert len(got) == 200 - len([k for k in range(200) if k % 7 == 6]) and all(c == str((k + 8) % 7) and trace == f"a7{k % 7}" for k, (c, trace) in got.items())
+    assert {r.id for r in done.missed.collect()} == {k for k in range(200) if k % 7 == 6} and {(r.c, r.miss_order_execution, r.v) for r in done.missed.where("id = 6").collect()} == {("4", 5.0, 9.0)}
+
+
+def test_rows_with_own_values_are_not_folded(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a")], "k int, s string")
+    done = mapping.map_table(df, _rules(("r", {"s": "a"}, {"o": "exp{__UUID__}"}, 1))).result
+    assert done.select("o").distinct().count() == 3
+
+
+def test_patterns_of_several_columns(spark, rows):
+    df = spark.createDataFrame([(f"A{i % 5}", f"B{i % 3}", i % 2) for i in range(60)] + [(None, "B1", 1), ("", None, 0)], "a string, b string, c int")
+    given = [("p", {"a": "reg{[12]}", "b": "reg{[01]}", "c": "1"}, {"o": "x"}, 1), ("q", {"a": "reg{^$}", "b": "reg{}"}, {"o": "y"}, 1), ("r", {"b": "reg{2"}, {"o": "never"}, 1)]
+    done = mapping.map_table(df, _rules(*given)).result.select("a", "b", "c", "o").distinct()
+    want = {(f"A{i % 5}", f"B{i % 3}", 1, "x") for i in range(60) if i % 5 in (1, 2) and i % 3 < 2 and i % 2} | {(None, "B1", 1, "y"), ("", None, 0, "y")}
+    assert set(rows(done)) == want
+
+
+def test_wide_rules(spark, rows):
+    df = spark.createDataFrame([(1, "a", 3.0), (2, "b", None), (3, "c", 5.0), (4, None, 1.0)], "k int, s string, v double")
+    wide = [
+        {"映射规则类型": None, "映射优先顺序": 1, "映射规则编码": "all", "s": None, "k": None, "c": "exp{v * 2}", "d": "none"},
+        {"映射规则类型": "s+k", "映射优先顺序": 2, "映射规则编码": "ab", "s": "reg{[ab]}", "k": "2", "c": None, "d": "exp{str(c + 1)}"},
+    ]
+    assert rows(mapping.map_n(df, wide, ["c", "d"]).select("k", "c", "d", "map_trc_c", "map_trc_d")) == [(1, 6.0, "none", "all", "all"), (2, 0.0, "1.0", "all->ab", "all->ab"), (3, 10.0, "none", "all", "all"), (4, 2.0, "none", "all", "all")]
+    only = [{"rule_dimension": "s", "priority": 1, "mapping_code": "a", "s": "a", "c": "x"}]
+    assert rows(mapping.map_n(df, only, ["c"]).select("k", "c", "map_trc_c")) == [(1, "x", "a"), (2, None, None), (3, None, None), (4, None, None)]
+    assert mapping.map_n(df.withColumn("c", df["k"]), only, ["c"]).schema["c"].dataType.simpleString() == "string"
+    for bad in ({"miss_ok": False}, {"outputs": ["v"], "drop_if_exists": False}):
+        with pytest.raises(RuleError):
+            mapping.map_n(df, [r | {"v": 1} for r in only], **({"outputs": ["c"]} | bad))
+    with pytest.raises(RuleError):
+        mapping.read_wide_rules([{"rule_dimension": "s+z", "priority": 1, "mapping_code": "a", "s": "a", "c": "x"}], ["c"])
