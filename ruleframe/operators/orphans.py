@@ -2,8 +2,10 @@
 
 References are pre-aggregated by key and month, with the earliest and the latest time of use. Most groups are settled
 there: the key is unknown, or one stretch of its validity covers all its uses. Only groups left over go back to their
-rows. Keys that hold a thousandth of all references or more (at most a thousand keys) are looked up by broadcast; all
-others go through exchange joins on the key, whose groups are then bounded. Both halves are united at the end.
+rows. Keys that hold a thousandth of all references or more (at most a thousand keys) are checked against a broadcast of
+these keys, each with its validity and the months left over, or, if that is too large to send, by an exchange in which
+their rows are salted. All other keys go through exchange joins on the key, whose groups are then bounded. Both halves are
+united at the end. Where all groups left over are few, one pass over the rows with a broadcast of them does for both.
 """
 
 from __future__ import annotations
@@ -14,11 +16,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleframe.operators.sizes import heavy_keys, small
+from ruleframe.operators.sizes import BROADCAST_ROWS, heavy_keys
 from ruleframe.storage import cut
 
 KEY = ["d", "c"]
 GROUP = ["table_name", "d", "c", "month"]
+#: Parts into which a heavy key's rows are cut where its validity is too large to broadcast.
+SALTS = 64
 
 
 def references(table_name: str, rows: DataFrame, row_id: str, code: str, at: str, dimension: str | Column) -> DataFrame:
@@ -59,38 +63,60 @@ class Orphans:
     """``table_name``, ``ref_month``, ``reason``, ``n_orphans``, without the months that have none."""
 
 
-def find(members: DataFrame, refs: list[DataFrame], dimension: str = "dimension", code: str = "element_code", start: str = "created_at", end: str = "deleted_at") -> Orphans:
+def _judged(met: DataFrame) -> DataFrame:
+    """The orphans among rows that carry what is known of their key."""
+    fine = F.exists("valid", lambda v: (v["s"] <= F.col("t")) & (v["e"] > F.col("t")))
+    reason = F.when(F.col("known").isNull(), "missing").when(F.coalesce(F.col("first") > F.col("t"), F.lit(True)), "late").otherwise("deleted")
+    return met.where(F.col("known").isNull() | ~F.coalesce(fine, F.col("t").isNull())).select("table_name", "row_id", reason.alias("reason"), F.col("month").alias("ref_month"))
+
+
+def find(members: DataFrame, refs: list[DataFrame], dimension: str = "dimension", code: str = "element_code", start: str = "created_at", end: str = "deleted_at", limit: int = BROADCAST_ROWS) -> Orphans:
     """The references without a member valid at their time.
 
     ``reason`` is ``missing`` (no such member), ``late`` (all its rows start later) or ``deleted``. A null dimension is
     a member nobody has: ``missing``. A reference without a time is an orphan only if the member is missing, with ''
     for its month. A member row without a start is never valid and counts as starting late. Empty inputs give none.
+    ``limit``: frames of so many groups and stretches of validity together are broadcast.
     """
     every = reduce(DataFrame.unionByName, refs).withColumn("t", F.col("t").cast("timestamp_ntz"))
     every = every.withColumn("month", F.coalesce(F.date_format("t", "yyyyMM"), F.lit("")))
+    nowhere = every.where("d is null").select("table_name", "row_id", F.lit("missing").alias("reason"), F.col("month").alias("ref_month"))
+    every = every.where("d is not null")
     grouped = cut(every.groupBy(*GROUP).agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")))
     heavy = cut(heavy_keys(grouped, KEY, "n"))
     valid = cut(validity(members, dimension, code, start, end))
-
+    hot = F.broadcast(heavy)
     unsettled = (F.col("known").isNull()) | ~F.coalesce(F.exists("valid", lambda v: (v["s"] <= F.col("lo")) & (v["e"] > F.col("hi"))), F.col("lo").isNull())
 
     def suspects(groups: DataFrame, lookup: DataFrame) -> DataFrame:
         return groups.join(lookup, KEY, "left").where(unsettled).select(*GROUP, "known", "first", "valid")
 
-    hot = F.broadcast(heavy)
-    hot_suspects = cut(suspects(grouped.join(hot, KEY, "left_semi"), F.broadcast(valid.join(hot, KEY, "left_semi"))))
-    cold_suspects = cut(suspects(grouped.join(hot, KEY, "left_anti"), valid))
-
-    def check(rows: DataFrame, groups: DataFrame) -> DataFrame:
-        same = [rows[k].eqNullSafe(groups[k]) if k == "d" else rows[k] == groups[k] for k in GROUP]
-        met = rows.join(groups, reduce(lambda a, b: a & b, same)).select("row_id", rows["table_name"], rows["month"], "t", "known", "first", "valid")
-        fine = F.exists("valid", lambda v: (v["s"] <= F.col("t")) & (v["e"] > F.col("t")))
-        reason = F.when(F.col("known").isNull(), "missing").when(F.coalesce(F.col("first") > F.col("t"), F.lit(True)), "late").otherwise("deleted")
-        return met.where(F.col("known").isNull() | ~F.coalesce(fine, F.col("t").isNull())).select("table_name", "row_id", reason.alias("reason"), F.col("month").alias("ref_month"))
-
-    found = [check(every.join(hot, KEY, "left_semi"), small(hot_suspects)), check(every.join(hot, KEY, "left_anti"), small(cold_suspects))]
+    own = cut(valid.join(hot, KEY, "left_semi"))
+    hot_suspects = suspects(grouped.join(hot, KEY, "left_semi"), F.broadcast(own) if _fits(own, limit) else own)
+    left = cut(hot_suspects.withColumn("hot", F.lit(True)).unionByName(suspects(grouped.join(hot, KEY, "left_anti"), valid).withColumn("hot", F.lit(False))))
+    if _fits(left, limit):
+        found = [_judged(every.join(F.broadcast(left.drop("hot")), GROUP))]
+    else:
+        # one row a heavy key: its validity, and its months left over in each table
+        kept = left.where("hot").groupBy(*KEY).agg(F.collect_list(F.struct("table_name", "month")).alias("open")).join(own, KEY, "left")
+        kept = cut(kept)
+        rows = every.join(hot, KEY, "left_semi")
+        if _fits(kept, limit):
+            met = rows.join(F.broadcast(kept), KEY)
+        else:
+            met = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS))).join(kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), [*KEY, "salt"])
+        there = F.struct(F.col("table_name"), F.col("month"))
+        found = [_judged(met.where(F.array_contains("open", there))), _judged(every.join(hot, KEY, "left_anti").join(left.where("not hot").drop("hot"), GROUP))]
+    found.append(nowhere)
     counts = [x.groupBy("table_name", "ref_month", "reason").agg(F.count("*").alias("n")) for x in found]
     return Orphans(
-        found[0].unionByName(found[1]),
-        counts[0].unionByName(counts[1]).groupBy("table_name", "ref_month", "reason").agg(F.sum("n").alias("n_orphans")),
+        reduce(DataFrame.unionByName, found),
+        reduce(DataFrame.unionByName, counts).groupBy("table_name", "ref_month", "reason").agg(F.sum("n").alias("n_orphans")),
     )
+
+
+def _fits(df: DataFrame, limit: int) -> bool:
+    """Whether rows and the elements of their arrays together are few enough to be broadcast."""
+    arrays = [F.coalesce(F.size(c), F.lit(0)) for c, kind in df.dtypes if kind.startswith("array")]
+    weight = F.lit(1) + reduce(lambda a, b: a + b, [F.greatest(x, F.lit(0)) for x in arrays], F.lit(0))
+    return (df.agg(F.sum(weight)).first()[0] or 0) <= limit

@@ -457,7 +457,19 @@ def _layer_rules(spark: SparkSession, d: str) -> list[dict]:
     ]
 
 
-@_register()
+_MEETS = "CASE WHEN starts_with({s}, 'reg{{') THEN regexp_matches(CASE WHEN {v} = '' THEN '∅' ELSE {v} END, substr({s}, 5, length({s}) - 5)) ELSE {v} = {s} END"
+_LAYERS = f"""WITH d AS (SELECT detail_id, entity, coalesce(entity, '') AS e, coalesce(element_code, '') AS c, CASE WHEN length(period) >= 4 THEN period ELSE rpad(coalesce(period, ''), 4, '-') END AS period FROM detail),
+r AS (SELECT order_execution AS o, mapping_code, nullif(keep_row, '') AS keep, nullif(output_code_1, '') AS out, coalesce(source_code_1, '') AS s1, coalesce(source_code_2, '') AS s2, source_field_2 IS NULL AS one, row_number() OVER (PARTITION BY order_execution ORDER BY priority, rule_id) AS n FROM mapping_1t),
+h AS (SELECT e, c, o, string_agg(mapping_code, '->' ORDER BY n) AS trace, arg_max(keep, n) AS keep, arg_max(out, n) AS out
+  FROM (SELECT DISTINCT e, c FROM d) JOIN r ON {_MEETS.format(s='s1', v='e')} AND (one OR {_MEETS.format(s='s2', v='c')}) GROUP BY e, c, o),
+w AS (SELECT e, c, max(trace) FILTER (WHERE o = 10) AS t1, max(trace) FILTER (WHERE o = 20) AS t2, max(trace) FILTER (WHERE o = 30) AS t3, max(keep) FILTER (WHERE o = 10) AS k1, max(keep) FILTER (WHERE o = 20) AS k2, max(keep) FILTER (WHERE o = 30) AS k3,
+  max(out) FILTER (WHERE o = 10) AS o1, max(out) FILTER (WHERE o = 20) AS o2, max(out) FILTER (WHERE o = 30) AS o3 FROM h GROUP BY e, c),
+x AS (SELECT d.*, w.* EXCLUDE (e, c), CASE WHEN t1 IS NULL THEN 1 WHEN k1 = '是' AND t2 IS NULL THEN 2 WHEN k1 = '是' AND k2 = '是' AND t3 IS NULL THEN 3 WHEN k1 = '是' AND k2 = '是' AND k3 = '是' THEN 4 END AS state FROM d LEFT JOIN w ON w.e = d.e AND w.c = d.c),
+y AS (SELECT *, CASE state WHEN 2 THEN o1 WHEN 3 THEN o2 WHEN 4 THEN o3 END AS out, CASE state WHEN 2 THEN t1 WHEN 3 THEN t2 WHEN 4 THEN t3 END AS trace FROM x WHERE state IS NOT NULL)
+SELECT detail_id, CASE WHEN out = 'var{{entity}}' THEN entity WHEN starts_with(out, 'var{{period}}') THEN substr(period, 1, 4) ELSE out END AS report_line, trace AS map_trc_report_line, CASE WHEN state < 4 THEN CAST(state * 10 AS DOUBLE) END AS miss_order_execution FROM y"""
+
+
+@_register(_LAYERS)
 def map_table_layers(spark: SparkSession, d: str) -> DataFrame:
     """``mapping_1t`` as a whole on ``detail``: all orders, conditions, priorities, outputs and keep flags.
 
