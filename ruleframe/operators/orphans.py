@@ -104,7 +104,7 @@ def find(members: DataFrame, refs: list[DataFrame], dimension: str = "dimension"
         if _fits(kept, limit):
             met = rows.join(F.broadcast(kept), KEY)
         else:
-            met = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS))).join(kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), [*KEY, "salt"])
+            met = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS))).join(kept.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)"))), [*KEY, "salt"])
         there = F.struct(F.col("table_name"), F.col("month"))
         found = [_judged(met.where(F.array_contains("open", there))), _judged(every.join(hot, KEY, "left_anti").join(left.where("not hot").drop("hot"), GROUP))]
     found.append(nowhere)
