@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ruleframe.errors import RuleError
-from ruleframe.functions.columns import kind, q, require
+from ruleframe.functions.columns import kind, q, require, strip
 from ruleframe.operators.table import rename_over
 from ruleframe.operators.unify import union_relaxed
 
@@ -44,7 +44,7 @@ def report(found: DataFrame, join_keys: list[str], source_column: str = "_tmp_di
     column, ``变更字段`` the changed ones. Of several rows with one key and side the smallest counts."""
     require(found, [*join_keys, source_column])
     values = [c for c in found.columns if c not in (*join_keys, source_column)]
-    clean = lambda c: F.when(~F.lower(q(c)).isin("nan", "none"), q(c)).alias(c)
+    clean = lambda c: F.when(~F.lower(strip(q(c))).isin("nan", "none"), q(c)).alias(c)
     side = lambda s, mark: found.where(q(source_column) == s).groupBy(*[q(k) for k in join_keys]).agg(F.min(F.struct(*[clean(c) for c in values], F.lit(1).alias("__x"))).alias(mark)).select(*[q(k).alias(f"__{mark}{i}") for i, k in enumerate(join_keys)], mark)
     a, b = side("df_1", "l"), side("df_2", "r")
     met = a.join(b, reduce(lambda x, y: x & y, [F.col(f"__l{i}").eqNullSafe(F.col(f"__r{i}")) for i in range(len(join_keys))]), "full")
@@ -59,10 +59,6 @@ def report(found: DataFrame, join_keys: list[str], source_column: str = "_tmp_di
     )
 
 
-def report_counts(reported: DataFrame) -> dict[str, int]:
-    return {r["差异类型"]: r["count"] for r in reported.groupBy("差异类型").count().collect()}
-
-
 def diff_groups(left: DataFrame, left_groupby: list[str], left_sum: list[str], right: DataFrame, right_groupby: list[str] | None = None, right_sum: list[str] | None = None, keep_groupby: str = "left", abs_delta: float = 0.5) -> DataFrame:
     """Sums by group on both sides, and groups in which any sum differs by ``abs_delta`` or more.
 

@@ -24,6 +24,7 @@ from ruleframe.operators.table import assign, group_keys
 from ruleframe.operators.unify import union_relaxed
 from ruleframe.storage import cut
 
+# The label and trace columns; the labels are ``out`` and ``in``.
 LABEL, TRACE = "dim_alclabel", "dim_alctrace"
 #: Up to so many members the closure is made by the driver; above, by ``operators.hierarchy``.
 MEMBERS_ON_DRIVER = 100_000

@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from ruleframe.errors import RuleError
-from ruleframe.plans.steps import STEPS, Store, bind, resolve
+from ruleframe.plans.steps import STEPS, Store, bind, call, resolve
 
 COLUMNS = ("order", "function", "params", "enabled")
 
@@ -20,7 +20,7 @@ COLUMNS = ("order", "function", "params", "enabled")
 class StepSpec:
     row: int
     order: float
-    function: str
+    function: str | Callable[..., Any]
     params: dict[str, Any]
     comments: str | None = None
 
@@ -30,9 +30,12 @@ class Event:
     step: StepSpec
     index: int
     total: int
-    state: str  # started, completed
+    state: str  # started, writing, completed
     seconds: float = 0.0
-    result: str | None = None
+    result: Any = None
+    rows: int | None = None
+    """Of a sheet, the rows written so far, while ``writing``; ``of`` is their number."""
+    of: int | None = None
 
 
 def as_rows(source: Any) -> list[dict[str, Any]]:
@@ -84,7 +87,8 @@ def read_schedule(source: Any) -> list[StepSpec]:
         if mark == "Y":
             if _missing(r.get("function")):
                 raise RuleError(f"row {row}: the function is blank")
-            out.append(StepSpec(row, float(order), str(r["function"]).strip(), parse_params(r.get("params"), row), None if _missing(r.get("comments")) else str(r["comments"])))
+            name = r["function"]
+            out.append(StepSpec(row, float(order), name if callable(name) else str(name).strip(), parse_params(r.get("params"), row), None if _missing(r.get("comments")) else str(r["comments"])))
     return sorted(out, key=lambda s: s.order)
 
 
@@ -98,7 +102,7 @@ class Pipeline:
             bind(resolve(s.function), s.params)
         return self.steps
 
-    def run(self, spark: SparkSession, on_event: Callable[[Event], None] | None = None, reuse: bool = True) -> list[str]:
+    def run(self, spark: SparkSession, on_event: Callable[[Event], None] | None = None, reuse: bool = True) -> list[Any]:
         """Run all steps; the first error stops, results of earlier steps stay."""
         self.preview()
         store, done = Store(spark, reuse=reuse), []
@@ -106,15 +110,16 @@ class Pipeline:
         for i, s in enumerate(self.steps, 1):
             tell(Event(s, i, len(self.steps), "started"))
             began = time.monotonic()
-            done.append(resolve(s.function)(store, **s.params))
+            store.on_rows = lambda n, of, s=s, i=i: tell(Event(s, i, len(self.steps), "writing", time.monotonic() - began, None, n, of))  # noqa: B023
+            done.append(call(resolve(s.function), store, s.params))
             tell(Event(s, i, len(self.steps), "completed", time.monotonic() - began, done[-1]))
         return done
 
 
-def run_step(spark: SparkSession, function: str, params: dict[str, Any]) -> str:
-    f = resolve(function)
+def run_step(spark: SparkSession, function: str | Callable[..., Any], params: dict[str, Any] | None = None) -> Any:
+    f, params = resolve(function), params or {}
     bind(f, params)
-    return f(Store(spark), **params)
+    return call(f, Store(spark), params)
 
 
 def known_steps() -> Iterable[str]:

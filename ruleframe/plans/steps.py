@@ -24,26 +24,41 @@ class Store:
     spark: SparkSession
     made: dict[str, DataFrame] = field(default_factory=dict)
     reuse: bool = False
+    on_rows: Callable[[int, int | None], None] | None = None
+    """Called with the rows written to a sheet so far and their number."""
 
     def read(self, path: str, sheet: str | None = None) -> DataFrame:
         key = tables.qualified(self.spark, path)
         return self.made[key] if self.reuse and key in self.made else tables.read_table(self.spark, path, sheet)
 
     def write(self, df: DataFrame, path: str, captions: dict[str, str] | None = None, verify: Callable[[], None] | None = None, sheet: str | None = None) -> str:
-        tables.write_table(df, path, sheet, captions, verify)
+        tables.write_table(df, path, sheet, captions, verify, self.on_rows)
         if self.reuse and not path.lower().endswith(".xlsx"):
             self.made[tables.qualified(self.spark, path)] = tables.read_table(self.spark, path)
         return path
 
 
-STEPS: dict[str, Callable[..., str]] = {}
+STEPS: dict[str, Callable[..., Any]] = {}
 
 
-def step(f: Callable[..., str]) -> Callable[..., str]:
+def step(f: Callable[..., Any]) -> Callable[..., Any]:
     STEPS[f.__name__] = f
     return f
 
 
+def register(f: Callable[..., Any], name: str | None = None) -> Callable[..., Any]:
+    """Make a function a step of schedules under its own or the given (perhaps dotted) name. A first parameter called
+    ``store`` gets the run's tables; all others come from the schedule."""
+    name = name or f.__name__
+    if STEPS.get(name, f) is not f:
+        raise RuleError(f"there already is a step {name!r}")
+    STEPS[name] = f
+    return f
+
+
+# Names, parameters and defaults of the steps below are those that schedules use.
+
+
 @step
 def filter_by_conditions(store: Store, input_file_path: str, conditions: dict | str, output_file_path: str, input_sheet_name: str | None = None) -> str:
     return store.write(table.filter_rows(store.read(input_file_path, input_sheet_name), conditions), output_file_path)
@@ -135,7 +150,7 @@ def diff_by_row(store: Store, first_file_path: str, second_file_path: str, outpu
 def diff_by_row_to_excel(store: Store, first_file_path: str, second_file_path: str, output_file_path: str, join_keys: list[str], output_sheet_name: str = "差异明细", check_columns: list[str] | None = None, exclude_columns: list[str] | None = None, column_map: dict[str, str] | None = None, diff_source_col: str = "_tmp_diff_src", first_sheet_name: str | None = None, second_sheet_name: str | None = None) -> str:
     pair = store.read(first_file_path, first_sheet_name), store.read(second_file_path, second_sheet_name)
     reported = diff.report(diff.diff_rows(*pair, check_columns, exclude_columns, column_map, diff_source_col), join_keys, diff_source_col)
-    return write_diff(reported, output_file_path, output_sheet_name, diff.report_counts(reported))
+    return write_diff(reported, tables.local(store.spark, output_file_path), output_sheet_name)
 
 
 @step
@@ -167,16 +182,35 @@ def query_sql(store: Store, sql: str, output_file_path: str) -> str:
 STEPS["allocation"] = STEPS.pop("allocate")
 
 
-def resolve(name: str) -> Callable[..., str]:
-    """A step by name; a dotted path is accepted for its last part."""
-    found = STEPS.get(str(name).strip().rpartition(".")[2])
+#: Modules under which schedules name the steps above.
+_MODULES = ("service", "steps")
+
+
+def resolve(name: str | Callable[..., Any]) -> Callable[..., Any]:
+    """A step by its name, or by a dotted path into the module of steps; other paths must be registered. A function
+    stands for itself."""
+    if callable(name):
+        return name
+    given = str(name).strip()
+    found = STEPS.get(given)
+    if found is None:
+        module, _, last = given.rpartition(".")
+        found = STEPS.get(last) if module.rpartition(".")[2] in _MODULES else None
     if found is None:
         raise RuleError(f"there is no step {name!r}; known: {sorted(STEPS)}")
     return found
 
 
-def bind(f: Callable[..., str], params: dict[str, Any]) -> None:
+def _takes_store(f: Callable[..., Any]) -> bool:
+    return next(iter(inspect.signature(f).parameters), None) == "store"
+
+
+def bind(f: Callable[..., Any], params: dict[str, Any]) -> None:
     try:
-        inspect.signature(f).bind(None, **params)
+        inspect.signature(f).bind(*([None] if _takes_store(f) else []), **params)
     except TypeError as e:
-        raise RuleError(f"{f.__name__}: {e}") from e
+        raise RuleError(f"{getattr(f, '__name__', f)}: {e}") from e
+
+
+def call(f: Callable[..., Any], store: Store, params: dict[str, Any]) -> Any:
+    return f(*([store] if _takes_store(f) else []), **params)

@@ -56,18 +56,19 @@ def local(spark: SparkSession, path: str) -> str:
     return _paths(spark, path)[1].toUri().getPath() if scheme else path
 
 
-def write_table(df: DataFrame, path: str, sheet: str | None = None, captions: dict[str, str] | None = None, verify: Callable[[], None] | None = None) -> str:
+def write_table(df: DataFrame, path: str, sheet: str | None = None, captions: dict[str, str] | None = None, verify: Callable[[], None] | None = None, progress: Callable[[int, int | None], None] | None = None) -> str:
     """Write a table over what is there and return the path.
 
     Parquet goes to a staging directory beside it first; ``verify`` runs when that is written, and only then the
-    directory takes the place of the old one. So a table may be written over one of its own inputs.
+    directory takes the place of the old one. So a table may be written over one of its own inputs. ``progress`` is
+    told how many rows of a sheet are written.
     """
     if _suffix(path) == ".xlsx":
         path = local(df.sparkSession, path)
         os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
         staged = os.path.join(os.path.dirname(os.path.abspath(path)), f".{uuid.uuid4().hex}.xlsx")
         try:
-            write_xlsx(df, staged, sheet or "Sheet1", captions)
+            write_xlsx(df, staged, sheet or "Sheet1", captions, progress)
             if verify:
                 verify()
             shutil.move(staged, path)

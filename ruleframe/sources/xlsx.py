@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import re
+import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
@@ -183,8 +185,8 @@ def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> DataF
 
 _TYPES = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/></Types>'
 _RELS = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/{kind}" Target="{target}"/>{more}</Relationships>'
-#: Cell formats: 0 plain, 1 date and time, 2 date, 3 yellow.
-_STYLES = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><fonts count="1"><font/></fonts><fills count="3"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill><fill><patternFill patternType="solid"><fgColor rgb="FFFFFF00"/></patternFill></fill></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="4"><xf/><xf numFmtId="22" applyNumberFormat="1"/><xf numFmtId="14" applyNumberFormat="1"/><xf fillId="2" applyFill="1"/></cellXfs></styleSheet>'
+#: Cell formats: 0 plain, 1 date and time, 2 date, 3 yellow (a fixed value).
+_STYLES = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><fonts count="1"><font/></fonts><fills count="3"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill><fill><patternFill patternType="solid"><fgColor rgb="FFFFF59D"/></patternFill></fill></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="4"><xf/><xf numFmtId="22" applyNumberFormat="1"/><xf numFmtId="14" applyNumberFormat="1"/><xf fillId="2" applyFill="1"/></cellXfs></styleSheet>'
 
 
 def _cell(at: str, v: Any, style: int = 0) -> str:
@@ -205,14 +207,14 @@ def _cell(at: str, v: Any, style: int = 0) -> str:
 
 def write_rows(path: str, header: list[str], rows: Iterable[Iterable[Any]], sheet: str = "Sheet1", captions: dict[str, str] | None = None, filtered: bool = False, marked: Callable[[tuple], set[int]] | None = None, progress: Callable[[int, int | None], None] | None = None, total: int | None = None, batch: int = 10_000) -> str:
     """Write one sheet row by row. ``captions``: a second row with a caption a column (else its name); ``filtered``: a
-    frozen header with a filter; ``marked``: the columns of a row to colour; ``progress``: called with the rows written and
+    frozen header and first column, with a filter if there are rows; ``marked``: the columns of a row to colour; ``progress``: called with the rows written and
     ``total`` each ``batch`` rows and at the end."""
-    if not path.lower().endswith(".xlsx"):
-        raise RuleError("only .xlsx can be written")
+    if not path.lower().endswith((".xlsx", ".xlsm")):
+        raise RuleError("only .xlsx and .xlsm can be written")
     if batch <= 0:
         raise RuleError("the batch size must be positive")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", _TYPES)
+        z.writestr("[Content_Types].xml", _TYPES.replace("officedocument.spreadsheetml.sheet.main", "ms-excel.sheet.macroEnabled.main").replace("vnd.openxmlformats-ms-excel", "vnd.ms-excel") if path.lower().endswith(".xlsm") else _TYPES)
         z.writestr("_rels/.rels", _RELS.format(kind="officeDocument", target="xl/workbook.xml", more=""))
         style = '<Relationship Id="rId2" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" Target="styles.xml"/>'
         z.writestr("xl/_rels/workbook.xml.rels", _RELS.format(kind="worksheet", target="worksheets/sheet1.xml", more=style))
@@ -223,7 +225,7 @@ def write_rows(path: str, header: list[str], rows: Iterable[Iterable[Any]], shee
             put = lambda s: out.write(s.encode())
             put('<?xml version="1.0" encoding="UTF-8" standalone="yes"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">')
             if filtered:
-                put('<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews>')
+                put('<sheetViews><sheetView workbookViewId="0"><pane xSplit="1" ySplit="1" topLeftCell="B2" state="frozen"/></sheetView></sheetViews>')
             put("<sheetData>")
             n = 0
 
@@ -244,7 +246,7 @@ def write_rows(path: str, header: list[str], rows: Iterable[Iterable[Any]], shee
                 if progress and done % batch == 0:
                     progress(done, total)
             put("</sheetData>")
-            if filtered and header:
+            if filtered and header and done:
                 put(f'<autoFilter ref="A1:{_letters(len(header) - 1)}{n}"/>')
             put("</worksheet>")
             if progress:
@@ -257,19 +259,39 @@ def write_xlsx(df: DataFrame, path: str, sheet: str = "Sheet1", captions: dict[s
     return write_rows(path, df.columns, df.toLocalIterator(prefetchPartitions=True), sheet, captions, progress=progress, total=df.count() if progress else None, batch=batch)
 
 
-def write_diff(reported: DataFrame, path: str, sheet: str = "差异明细", counts: dict[str, int] | None = None) -> str:
-    """A side-by-side difference report: changed cells yellow, filter, frozen header, counts in the file name."""
-    header = [c for c in reported.columns if c != "变更字段"]
+# The column that tells the kind of a difference, its kinds, and the prefixes of both sides.
+DIFF_KIND, DIFF_KINDS, DIFF_FIELDS, OLD, NEW = "差异类型", ("增", "删", "改"), "变更字段", "旧", "新"
+
+
+def write_diff(reported: DataFrame, path: str, sheet: str = "差异明细") -> str:
+    """A side-by-side difference report: the kind first, then keys, all old and all new values; changed cells coloured,
+    filter, frozen panes, and the number of each kind in the file's name. The report is run once: rows are counted while
+    they are written, and the file gets its name afterwards. Other endings than .xlsx and .xlsm become .xlsx."""
+    stem, suffix = os.path.splitext(path)
+    if suffix.lower() not in (".xlsx", ".xlsm"):
+        suffix = ".xlsx"
+    sides = [[c for c in reported.columns if c.startswith(f"{p}_")] for p in (OLD, NEW)]
+    keys = [c for c in reported.columns if c not in (DIFF_KIND, DIFF_FIELDS, *sides[0], *sides[1])]
+    header = [DIFF_KIND, *keys, *sides[0], *sides[1]]
     at = {h: i for i, h in enumerate(header)}
-    order = [reported.columns.index(h) for h in header]
-    fields = reported.columns.index("变更字段")
+    order, fields, kind = [reported.columns.index(h) for h in header], reported.columns.index(DIFF_FIELDS), reported.columns.index(DIFF_KIND)
+    counts = dict.fromkeys(DIFF_KINDS, 0)
     pending: list[set[int]] = []
 
     def rows() -> Iterator[tuple]:
         for r in reported.toLocalIterator(prefetchPartitions=True):
-            pending.append({at[f"{side}_{f}"] for f in r[fields] for side in ("旧", "新")})
+            counts[r[kind]] += 1
+            pending.append({at[f"{side}_{f}"] for f in r[fields] for side in (OLD, NEW)})
             yield tuple(r[i] for i in order)
 
-    counts = counts or {}
-    named = path[: -len(".xlsx")] + "".join(f"_{k}{v}" for k, v in sorted(counts.items())) + ".xlsx" if counts else path
-    return write_rows(named, header, rows(), sheet, filtered=True, marked=lambda _: pending.pop(0))
+    folder = os.path.dirname(os.path.abspath(path))
+    os.makedirs(folder, exist_ok=True)
+    staged = os.path.join(folder, f".{uuid.uuid4().hex}{suffix}")
+    try:
+        write_rows(staged, header, rows(), sheet, filtered=True, marked=lambda _: pending.pop(0))
+        named = f"{stem}({'_'.join(f'{k}{n}' for k, n in counts.items())}){suffix}"
+        os.replace(staged, named)
+    finally:
+        if os.path.exists(staged):
+            os.remove(staged)
+    return named

@@ -1,7 +1,10 @@
 import datetime as dt
+import zipfile
 
 import pytest
 from ruleframe.errors import RuleError
+from ruleframe.operators import diff
+from ruleframe.plans import steps
 from ruleframe.plans.pipeline import Pipeline, parse_params, run_step
 from ruleframe.sources import tables, xlsx
 from ruleframe.streaming.upsert import latest, replace_partitions_stream
@@ -47,7 +50,7 @@ def test_sheet_layout(spark, tmp_path):
         with pytest.raises(RuleError):
             xlsx.read_rows(at)
     with pytest.raises(RuleError):
-        xlsx.write_rows(str(tmp_path / "b.xlsm"), ["a"], [])
+        xlsx.write_rows(str(tmp_path / "b.xls"), ["a"], [])
     xlsx.write_rows(at, ["a"], [[1]], sheet="S & T", captions={"a": "caption"})
     assert xlsx.read_rows(at, "S & T") == (["a"], [["caption"], [1]])
     with pytest.raises(RuleError):
@@ -93,7 +96,7 @@ def test_schedule_runs_in_order(spark, tmp_path, rows):
     assert spark.read.parquet(at("db.parquet")).count() == 2
     spark.createDataFrame([("a", "9")], "g string, v string").write.parquet(at("other.parquet"))
     made = run_step(spark, "diff_by_row_to_excel", {"first_file_path": at("other.parquet"), "second_file_path": at("in.parquet"), "output_file_path": at("d.xlsx"), "join_keys": ["g"]})
-    assert made.endswith("d_增1_改1.xlsx") and xlsx.read_rows(made, "差异明细")[0] == ["g", "差异类型", "旧_v", "新_v"]
+    assert made.endswith("d(增1_删0_改1).xlsx") and xlsx.read_rows(made, "差异明细")[0] == ["差异类型", "g", "旧_v", "新_v"]
 
 
 @pytest.mark.parametrize("change", [{"order": True}, {"order": "1"}, {"enabled": "Q"}, {"function": " "}, {"params": "[1]"}, {"params": "{"}])
@@ -125,11 +128,54 @@ def test_stream_replaces_partitions(spark, tmp_path, rows):
 
 
 def test_plans_stay_in_the_jvm(spark):
-    from ruleframe.queries import steps
+    from ruleframe.queries import steps as queries
 
     for name in ("filter_compare", "map_layered", "allocate_service", "diff_report"):
-        plan = steps.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan
         if name == "filter_compare":
             pushed, read = plan.split("PushedFilters: ")[1], plan.split("ReadSchema: ")[1]
             assert pushed.startswith("[IsNotNull(l_quantity)") and "l_shipdate" not in read and "l_comment" not in read
+
+
+def test_difference_workbook(spark, tmp_path):
+    schema = "k string, v string, w string, _tmp_diff_src string"
+    found = spark.createDataFrame([("a", "1", "x", "df_1"), ("a", "2", " NaN ", "df_2"), ("b", "1", "None", "df_1"), ("c", " none", "y", "df_2")], schema)
+    made = xlsx.write_diff(diff.report(found, ["k"]), str(tmp_path / "sub" / "d.xlsm"))
+    assert made == str(tmp_path / "sub" / "d(增1_删1_改1).xlsm") and [p.name for p in (tmp_path / "sub").iterdir()] == ["d(增1_删1_改1).xlsm"]
+    header, data = xlsx.read_rows(made, "差异明细")
+    assert header == ["差异类型", "k", "旧_v", "旧_w", "新_v", "新_w"]
+    assert sorted(data) == sorted([["改", "a", "1", "x", "2", None], ["删", "b", "1", None, None, None], ["增", "c", None, None, None, "y"]])
+    with zipfile.ZipFile(made) as z:
+        sheet, styles, kinds = (z.read(n).decode() for n in ("xl/worksheets/sheet1.xml", "xl/styles.xml", "[Content_Types].xml"))
+    assert "FFFFF59D" in styles and 'topLeftCell="B2"' in sheet and "autoFilter" in sheet and sheet.count('s="3"') == 4 and "application/vnd.ms-excel.sheet.macroEnabled.main+xml" in kinds
+    empty = xlsx.write_diff(diff.report(found.limit(0), ["k"]), str(tmp_path / "e.txt"))
+    assert empty.endswith("e(增0_删0_改0).xlsx") and "autoFilter" not in zipfile.ZipFile(empty).read("xl/worksheets/sheet1.xml").decode()
+
+
+def test_own_steps_and_writing_events(spark, tmp_path):
+    at = str(tmp_path / "n.xlsx")
+
+    def count_up(store, n, path):
+        return store.write(store.spark.range(n), path)
+
+    def plain(a, b=2):
+        return a + b
+
+    steps.register(count_up, "own.count_up")
+    try:
+        seen = []
+        rows = [{"order": 1, "function": "own.count_up", "params": {"n": 3, "path": at}, "enabled": "Y"}, {"order": 2, "function": plain, "params": {"a": 1}, "enabled": "Y"}]
+        assert Pipeline(rows).run(spark, lambda e: seen.append((e.index, e.state, e.rows, e.of))) == [at, 3]
+        assert seen == [(1, "started", None, None), (1, "writing", 3, 3), (1, "completed", None, None), (2, "started", None, None), (2, "completed", None, None)]
+        assert run_step(spark, plain, {"a": 2}) == 4
+        with pytest.raises(RuleError):
+            steps.register(plain, "own.count_up")
+    finally:
+        del steps.STEPS["own.count_up"]
+    for bad in ("other.module.concat", "os.system", "", "count_up"):
+        with pytest.raises(RuleError):
+            steps.resolve(bad)
+    assert steps.resolve("service.concat") is steps.resolve("concat") is steps.resolve("some_package.service.concat")
+    with pytest.raises(RuleError):
+        run_step(spark, plain, {"z": 1})
