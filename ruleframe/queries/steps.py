@@ -66,14 +66,15 @@ def filter_nulls(spark: SparkSession, d: str) -> DataFrame:
     return tab.filter_rows(_events(spark, d), {"event_type": {"is_null": True}, "user_id": {"is_null": False, "ne": None}}).select("event_id", "value")
 
 
-@_register(f"SELECT * FROM ({_EVENTS}) WHERE trim(event_type) <> '' AND value IS NOT NULL")
+@_register("SELECT detail_id, currency, element_code, amount FROM detail WHERE trim(currency) <> '' AND trim(element_code) <> '' AND amount IS NOT NULL")
 def drop_empty_any(spark: SparkSession, d: str) -> DataFrame:
-    return tab.drop_empty(_events(spark, d), ["event_type", "value"])
+    return tab.drop_empty(table(spark, d, "detail").select("detail_id", "currency", "element_code", "amount"), ["currency", "element_code", "amount"])
 
 
-@_register(f"SELECT * FROM ({_EVENTS}) WHERE trim(event_type) <> ''")
+@_register(f"SELECT * FROM (SELECT event_id, event_type, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS value FROM ({_EVENTS})) WHERE trim(event_type) <> '' OR value IS NOT NULL")
 def drop_empty_all(spark: SparkSession, d: str) -> DataFrame:
-    return tab.drop_empty(_events(spark, d), ["event_type"], "all")
+    rows = _events(spark, d).select("event_id", "event_type", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"))
+    return tab.drop_empty(rows, ["event_type", "value"], "all")
 
 
 # ---- projections

@@ -7,6 +7,7 @@ import os
 import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def workspace(spark: SparkSession) -> str:
+    """A folder of its own under the checkpoint folder, for tables that are written and read by name."""
+    return f"{ensure_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there: lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)

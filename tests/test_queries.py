@@ -9,9 +9,11 @@ from collections import Counter
 import duckdb
 import pytest
 
-from ruleframe.queries import core, steps
+from ruleframe.queries import core, stepruns, steps
 
 DATA = "/root/testdata/sf0.001"
+QUERIES = core.QUERIES | steps.QUERIES | stepruns.QUERIES
+ORACLE = core.ORACLE | steps.ORACLE | stepruns.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -27,10 +29,10 @@ def plain(rows, columns):
     return Counter(tuple(round(float(v), 4) + 0.0 if isinstance(v, float) or type(v).__name__ == "Decimal" else v for v in (r[i] for i in order)) for r in rows)
 
 
-@pytest.mark.parametrize("name", [*core.ORACLE, *steps.ORACLE])
+@pytest.mark.parametrize("name", [*core.ORACLE, *steps.ORACLE, *stepruns.ORACLE])
 def test_same_as_sql(spark, duck, name):
-    df = (core.QUERIES | steps.QUERIES)[name](spark, DATA)
-    found = duck.execute((core.ORACLE | steps.ORACLE)[name])
+    df = QUERIES[name](spark, DATA)
+    found = duck.execute(ORACLE[name])
     columns = [c[0] for c in found.description]
     assert sorted(df.columns) == sorted(columns)
     assert plain([tuple(r) for r in df.collect()], df.columns) == plain(found.fetchall(), columns)
