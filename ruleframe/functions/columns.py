@@ -58,6 +58,16 @@ def amount(df: DataFrame, name: str) -> Column:
     return F.when(bad, F.raise_error(F.concat(F.lit(f"column {name} holds no finite number: "), c.cast("string"))).cast("double")).otherwise(F.coalesce(x, F.lit(0.0)))
 
 
+def plain_text(kind_: T.DataType, c: Column) -> Column:
+    """A value as text, written alike by any engine: numbers with six decimals (as Spark writes them where they are too
+    large for that), times to the microsecond."""
+    if isinstance(kind_, (T.DoubleType, T.FloatType)):
+        return F.coalesce(c.try_cast("decimal(38,6)").cast("string"), c.cast("string"))
+    if isinstance(kind_, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return c.cast("string")
+
+
 def amounts(df: DataFrame, names: Iterable[str]) -> DataFrame:
     names = list(names)
     require(df, names)

@@ -8,7 +8,7 @@ How it scales:
 * Leaves are peeled in doubling strides (one level, then two, four, ...), so a chain of a million nodes takes twenty
   rounds. What never peels away are the cycles.
 * The tour is a linked list with two elements a node, one for a leaf. It is ranked by contraction: elements whose hash
-  is smaller than that of both neighbours are spliced out, about a third each round, until at most ``RANK_IN_ONE_TASK``
+  is smaller than that of both neighbours are spliced out, about a third each round, until at most ``rank_in_one_task``
   are left; these are ranked in one task, and the spliced ones are put back round by round. Work is linear in the
   nodes, and no key of any join repeats, so a parent with a third of all children is no hot spot.
 * Siblings are consecutive numbers of one global sort, so no window runs over the children of a parent.
@@ -51,7 +51,7 @@ class Hierarchy:
         return _walk(self.nodes, _pairs, "dimension string, ancestor string, descendant string, distance int, is_leaf boolean")
 
 
-def build(rows: DataFrame, dimension: str = "dimension", code: str = "element_code", parent: str = "parent") -> Hierarchy:
+def build(rows: DataFrame, dimension: str = "dimension", code: str = "element_code", parent: str = "parent", rank_in_one_task: int | None = None) -> Hierarchy:
     """The hierarchy of the members (``dimension``, ``code``) linked by ``parent``.
 
     ``nodes`` has ``dimension``, ``element_code``, ``root_code``, ``depth``, ``link_state`` (``tree``, ``on_cycle``,
@@ -79,7 +79,7 @@ def build(rows: DataFrame, dimension: str = "dimension", code: str = "element_co
     cycle = _cycles(groups)
     groups = cut(_without_cycle_links(groups, cycle))
     tour = _tour(m, groups, cycle)
-    return Hierarchy(_numbers(m, _ranked(tour)))
+    return Hierarchy(_numbers(m, _ranked(tour, RANK_IN_ONE_TASK if rank_in_one_task is None else rank_in_one_task)))
 
 
 def _cycles(groups: DataFrame) -> DataFrame:
@@ -145,10 +145,10 @@ def _rank_in_one_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
     yield pd.DataFrame({"e": e, "w": w, "deep": deep, "root": x["root"].to_numpy()[nxt]})[~end]
 
 
-def _ranked(tour: DataFrame) -> DataFrame:
+def _ranked(tour: DataFrame, at_once: int) -> DataFrame:
     """For each element ``w`` and ``deep`` summed up to the end of its list, and the ``root`` label at that end."""
     live, spliced = cut(tour), []
-    while live.where("nxt is not null").count() > RANK_IN_ONE_TASK:
+    while live.where("nxt is not null").count() > at_once:
         mix = lambda c, k=len(spliced): F.xxhash64(c, F.lit(k))
         on, ends = F.col("nxt").isNotNull(), F.col("nxt").isNull()
         falls = on & (mix(F.col("e")) > mix(F.col("nxt")))
@@ -220,9 +220,10 @@ def _walk(nodes: DataFrame, emit, schema: str) -> DataFrame:
         F.col("dimension").alias("d"), F.col("root_code").alias("root"), F.col("entry_no").alias("i"), F.col("exit_no").alias("o"), F.col("element_code").alias("c"), F.col("n_descendants").alias("n")
     )
     rows = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("part", F.spark_partition_id())
+    parts = rows.rdd.getNumPartitions()
     first = rows.groupBy("part").agg(F.min(F.struct(*order)).alias("f")).select("part", F.col("f.d").alias("d"), F.col("f.root").alias("root"), F.col("f.i").alias("at"))
     open_there = rows.drop("part").join(F.broadcast(first), ["d", "root"]).where("i < at and o > at").drop("at").withColumn("seed", F.lit(True))
-    both = rows.withColumn("seed", F.lit(False)).unionByName(open_there).repartition("part").sortWithinPartitions("part", *order)
+    both = rows.withColumn("seed", F.lit(False)).unionByName(open_there).repartitionByRange(max(1, parts), "part").sortWithinPartitions("part", *order)
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ruleframe.functions.columns import q
+from ruleframe.functions.columns import plain_text, q
 from ruleframe.operators.sizes import small
 from ruleframe.storage import cut
 
@@ -294,16 +294,6 @@ def distinct_counts(df: DataFrame, columns: list[str], group: str | None = None)
     return reduce(DataFrame.unionByName, [v.select("grp", F.lit(c).alias("column_name"), "n_distinct") for c, v in zip(columns, values)])
 
 
-def _text(df: DataFrame, column: str, value: Column) -> Column:
-    """A value as text: numbers with six decimals (as Spark writes them where they are too large), times to the microsecond."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return F.coalesce(value.try_cast("decimal(38,6)").cast("string"), value.cast("string"))
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    return value.cast("string")
-
-
 def profile(df: DataFrame, columns: list[str] | None = None, group: str | None = None) -> DataFrame:
     """One row a column, and a group if one is given: rows, nulls, null rate, exact number of distinct values, least and
     greatest value as text, the step of its masks, their number, the dominant masks and the rows with a rare one.
@@ -315,7 +305,7 @@ def profile(df: DataFrame, columns: list[str] | None = None, group: str | None =
     aggs = []
     for k, c in enumerate(columns):
         x = q(c)
-        aggs += [F.count(x).alias(f"n{k}"), _text(df, c, F.min(x)).alias(f"lo{k}"), _text(df, c, F.max(x)).alias(f"hi{k}")]
+        aggs += [F.count(x).alias(f"n{k}"), plain_text(df.schema[c].dataType, F.min(x)).alias(f"lo{k}"), plain_text(df.schema[c].dataType, F.max(x)).alias(f"hi{k}")]
     aggs = [F.count("*").alias("rows"), *aggs]
     one = df.groupBy(q(group).alias("grp")).agg(*aggs) if group else df.agg(*aggs).withColumn("grp", F.lit(0))
     cells = [F.struct(F.lit(c).alias("column_name"), F.col("rows").alias("n_rows"), (F.col("rows") - F.col(f"n{k}")).alias("n_nulls"), F.col(f"lo{k}").alias("least"), F.col(f"hi{k}").alias("greatest")) for k, c in enumerate(columns)]

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ruleframe.functions.columns import plain_text
+
 
 def _side(rows: DataFrame, keys: list[str], fields: list[str], name: str) -> DataFrame:
     plain = [F.col(k) for k in keys]
@@ -29,7 +31,8 @@ def compare(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str
 
     A null-safe full outer join on ``keys``; the result has the keys, ``change`` (``only_`` and the copy's name, or
     ``changed``) and ``differences``, an array of (``field``, ``left_value``, ``right_value``), empty unless changed.
-    ``fields`` defaults to the columns both copies have.
+    ``fields`` defaults to the columns both copies have; ``layout`` tells what else they differ in. Values come as
+    ``plain_text``.
 
     Defined results: null keys are equal to each other. Null text equals ''; other nulls equal only nulls. Numbers with
     a ``tolerance`` are equal if they lie less than it apart. Rows repeated inside a copy count once; if they differ,
@@ -42,7 +45,7 @@ def compare(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str
     met = a.join(b, reduce(lambda x, y: x & y, [F.col(f"l_{k}").eqNullSafe(F.col(f"r_{k}")) for k in keys]), "full")
     pairs = [(f, F.col("l").getField(f), F.col("r").getField(f)) for f in fields]
     each = [
-        F.when(_differs(kinds[f], x, y, tolerance.get(f)), F.struct(F.lit(f).alias("field"), x.cast("string").alias("left_value"), y.cast("string").alias("right_value")))
+        F.when(_differs(kinds[f], x, y, tolerance.get(f)), F.struct(F.lit(f).alias("field"), plain_text(kinds[f], x).alias("left_value"), plain_text(right.schema[f].dataType, y).alias("right_value")))
         for f, x, y in pairs
     ]
     none = F.array().cast("array<struct<field: string, left_value: string, right_value: string>>")
@@ -55,6 +58,14 @@ def compare(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str
     return found.where((F.col("change") != "changed") | (F.size("differences") > 0))
 
 
+def layout(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(``field``, ``left_type``, ``right_type``): columns that only one copy has (null on the other side), or that have
+    another type there. One row a column at most."""
+    a, b = (dict(x.dtypes) for x in (left, right))
+    rows = [(c, a.get(c), b.get(c)) for c in dict.fromkeys([*a, *b]) if a.get(c) != b.get(c)]
+    return left.sparkSession.createDataFrame(rows, "field string, left_type string, right_type string")
+
+
 def by_field(found: DataFrame, keys: list[str]) -> DataFrame:
     """``compare``'s result with one row for each differing field, and one with ``field_name`` '' for one-sided records."""
     alone = F.array(F.struct(F.lit("").alias("field"), F.lit(None).cast("string").alias("left_value"), F.lit(None).cast("string").alias("right_value")))

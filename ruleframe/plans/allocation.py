@@ -30,18 +30,20 @@ LABEL, TRACE = "dim_alclabel", "dim_alctrace"
 MEMBERS_ON_DRIVER = 100_000
 
 
-def base_members(metadata: DataFrame, dimension: str = "dimension", code: str = "element_code", is_base: str = "is_base", parent: str = "parent", base_flag: str = "Y") -> DataFrame:
+def base_members(metadata: DataFrame, dimension: str = "dimension", code: str = "element_code", is_base: str = "is_base", parent: str = "parent", base_flag: str = "Y", on_driver: int | None = None) -> DataFrame:
     """(``dimension``, ``ancestor``, ``base``): each summary member with all base members under it.
 
-    What hangs on a base member is not reached through it. Repeated members and cycles are errors.
+    What hangs on a base member is not reached through it. Repeated members and cycles are errors. Up to ``on_driver``
+    members the closure is made by the driver, beyond by ``operators.hierarchy``; both give the same.
     """
+    on_driver = MEMBERS_ON_DRIVER if on_driver is None else on_driver
     names = [dimension, code, is_base, parent]
     require(metadata, names, "metadata")
     rows = metadata.select(*[q(n) for n in names]).where(q(code).isNotNull())
     spark = metadata.sparkSession
     schema = "dimension string, ancestor string, base string"
-    held = rows.limit(MEMBERS_ON_DRIVER + 1).collect()
-    if len(held) <= MEMBERS_ON_DRIVER:
+    held = rows.limit(on_driver + 1).collect()
+    if len(held) <= on_driver:
         base, children = {}, defaultdict(list)
         for d, c, b, p in held:
             if (d, c) in base:
@@ -92,8 +94,10 @@ def expand_factors(factors: DataFrame, metadata: DataFrame, out_prefix: str = "o
         plain = plain.withColumn(c, F.coalesce("base", q(c))).drop("ancestor", "base")
         if is_text(factors, c) and factors.where(is_pattern).limit(1).count():
             wild = factors.where(is_pattern).withColumn("__p", F.concat(F.lit("^(?:"), pattern, F.lit(")")))
-            wild = wild.join(F.broadcast(part.select("ancestor", "base")), F.rlike(F.col("ancestor"), F.col("__p")), "left")
-            wild = wild.withColumn(c, F.coalesce("base", q(c))).drop("ancestor", "base", "__p")
+            # the distinct patterns against the distinct members, then their base members by key
+            patterns = small(cut(wild.select("__p").distinct()))
+            met = part.select("ancestor").distinct().join(patterns, F.rlike(F.col("ancestor"), F.col("__p"))).join(part, "ancestor").select("__p", "base").distinct()
+            wild = wild.join(met, "__p", "left").withColumn(c, F.coalesce("base", q(c))).drop("base", "__p")
             plain = plain.unionByName(wild)
         factors = plain.distinct()
     return factors

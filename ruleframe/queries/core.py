@@ -20,6 +20,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return nodes.select("dimension", "element_code", "root_code", "depth", "link_state")
 
 
+def p1_contracted(spark: SparkSession, d: str) -> DataFrame:
+    """``p1_found`` with lists ranked in one task only up to 200 elements: several rounds of contraction at any size."""
+    nodes = hierarchy.build(table(spark, d, "metadata"), rank_in_one_task=200).nodes
+    return nodes.select("dimension", "element_code", "root_code", "depth", "link_state")
+
+
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.build(table(spark, d, "metadata")).paths()
 
@@ -56,16 +62,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_values(spark: SparkSession, d: str) -> DataFrame:
-    """Both values of each differing text field; ``p6_all_values`` has those of every field."""
-    return _ledgers(spark, d).where("change = 'changed' and field_name not in ('amount', 'posted_on')")
-
-
-def p6_all_values(spark: SparkSession, d: str) -> DataFrame:
-    """Both values of each differing field, amounts and dates too, as Spark writes them as text.
-
-    DuckDB writes doubles differently, so there is no SQL; the tests compare with brute force.
-    """
-    return _ledgers(spark, d).where("change = 'changed'")
+    """Both values of each differing field, amounts and dates too; records of one side only with nulls."""
+    return _ledgers(spark, d)
 
 
 def _books(spark: SparkSession, d: str) -> DataFrame:
@@ -164,9 +162,9 @@ def p5_divergence(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("divergence", F.round("divergence", 6) + 0.0)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p3_found, p3_counts, p4_found, p4_unified, p4_schedule_table, p4_sheet_table, p5_found, p5_profile, p5_rare_masks, p5_rare_rows, p5_divergence, p6_found, p6_values, p6_all_values)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_contracted, p1_paths, p1_descendants, p3_found, p3_counts, p4_found, p4_unified, p4_schedule_table, p4_sheet_table, p5_found, p5_profile, p5_rare_masks, p5_rare_rows, p5_divergence, p6_found, p6_values)}
 
-_TREE = """WITH RECURSIVE m AS (
+TREE = """WITH RECURSIVE m AS (
   SELECT dimension AS d, element_code AS c, min(CASE WHEN trim(parent) <> '' THEN parent END) AS p FROM metadata
   WHERE dimension IS NOT NULL AND element_code IS NOT NULL GROUP BY 1, 2),
 r AS (
@@ -271,15 +269,15 @@ FROM ({stats}) s LEFT JOIN ({folded}) k ON k.c = s.column_name AND k.load_id IS
 
 
 ORACLE = {
-    "p1_found": _TREE
+    "p1_found": TREE
     + """, below AS (SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.d = m.d AND r.c = m.c)),
 walk AS (SELECT d, c, p AS at FROM below UNION SELECT w.d, w.c, b.p FROM walk w JOIN below b ON b.d = w.d AND b.c = w.at)
 SELECT d AS dimension, c AS element_code, root AS root_code, depth, 'tree' AS link_state FROM r
 UNION ALL SELECT d, c, '', -1, CASE WHEN EXISTS (SELECT 1 FROM walk w WHERE w.d = below.d AND w.c = below.c AND w.at = below.c) THEN 'on_cycle' ELSE 'below_cycle' END FROM below""",
-    "p1_paths": _TREE
+    "p1_paths": TREE
     + """ SELECT a.d AS dimension, a.c AS element_code, a.path, a.depth, a.root AS root_code,
   (SELECT count(*) FROM r b WHERE b.d = a.d AND starts_with(b.path, a.path || '/')) AS n_descendants FROM r a""",
-    "p1_descendants": _TREE
+    "p1_descendants": TREE
     + """ SELECT b.d AS dimension, a.c AS ancestor, b.c AS descendant, b.depth - a.depth AS distance
 FROM r b JOIN r a ON a.d = b.d AND a.root = b.root AND (b.path = a.path OR starts_with(b.path, a.path || '/'))""",
     "p3_found": _ORPHANS + " SELECT table_name, row_id, reason, ref_month FROM bad",
@@ -314,5 +312,11 @@ UNION ALL SELECT voucher_no, line_no, 'changed', 'amount' FROM j WHERE NOT no_l
 UNION ALL SELECT voucher_no, line_no, 'changed', 'amount' FROM j WHERE NOT no_l AND NOT no_r AND abs(l.amount - r.amount) >= 0.005
 UNION ALL SELECT voucher_no, line_no, 'changed', 'posted_on' FROM j WHERE NOT no_l AND NOT no_r AND l.posted_on IS DISTINCT FROM r.posted_on
 UNION ALL SELECT voucher_no, line_no, change, field_name FROM ({_DIFF_TEXTS})""",
-    "p6_values": _DIFF + f" SELECT * FROM ({_DIFF_TEXTS})",
+    "p6_values": _DIFF
+    + f""" SELECT voucher_no, line_no, CASE WHEN no_r THEN 'only_df_1' ELSE 'only_df_2' END AS change, '' AS field_name, NULL AS left_value, NULL AS right_value FROM j WHERE no_l OR no_r
+UNION ALL SELECT voucher_no, line_no, 'changed', 'amount', CAST(CAST(l.amount AS DECIMAL(38, 6)) AS VARCHAR), CAST(CAST(r.amount AS DECIMAL(38, 6)) AS VARCHAR) FROM j
+  WHERE NOT no_l AND NOT no_r AND ((l.amount IS NULL) <> (r.amount IS NULL) OR abs(l.amount - r.amount) >= 0.005)
+UNION ALL SELECT voucher_no, line_no, 'changed', 'posted_on', CAST(l.posted_on AS VARCHAR), CAST(r.posted_on AS VARCHAR) FROM j WHERE NOT no_l AND NOT no_r AND l.posted_on IS DISTINCT FROM r.posted_on
+UNION ALL SELECT * FROM ({_DIFF_TEXTS})""",
 }
+ORACLE["p1_contracted"] = ORACLE["p1_found"]

@@ -8,9 +8,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleframe.operators import diff, joins, quality, unify
+from ruleframe.functions.columns import blank
+from ruleframe.operators import diff, hierarchy, joins, quality, unify
 from ruleframe.operators import table as tab
 from ruleframe.plans import allocation, mapping
+from ruleframe.queries import core as core_sql
 from ruleframe.session import ship, table
 from ruleframe.sources.tables import query
 
@@ -273,6 +275,16 @@ def hierarchy_closure(spark: SparkSession, d: str) -> DataFrame:
     return allocation.base_members(_members(spark, d))
 
 
+@_register(core_sql.TREE + """ SELECT b.d AS dimension, a.c AS ancestor, b.c AS base FROM r b JOIN r a ON a.d = b.d AND a.root = b.root AND starts_with(b.path, a.path || '/')
+WHERE NOT EXISTS (SELECT 1 FROM r x JOIN m ON m.d = x.d AND m.c = x.c WHERE m.d = b.d AND m.p = b.c)""")
+def hierarchy_closure_members(spark: SparkSession, d: str) -> DataFrame:
+    """All members of ``metadata`` that lie in trees, those without children as base members; none of it on the driver."""
+    members = table(spark, d, "metadata")
+    nodes = hierarchy.build(members).nodes.where("link_state = 'tree'").select("dimension", "element_code", F.when(F.col("n_descendants") == 0, "Y").otherwise("N").alias("is_base"))
+    parents = members.where("dimension is not null and element_code is not null").groupBy("dimension", "element_code").agg(F.min(F.when(~blank(F.col("parent")), F.col("parent"))).alias("parent"))
+    return allocation.base_members(nodes.join(parents, ["dimension", "element_code"]), on_driver=0)
+
+
 _FACTORS = [("AFRICA", None, "BUILDING", 1.0), ("AFRICA", None, "MACHINERY", 3.0), ("ASIA", "R", "BUILDING", 2.0), ("ASIA", "R", "MACHINERY", 2.0), ("NATION_3", None, "HOUSEHOLD", 1.0), ("elsewhere", None, "HOUSEHOLD", 5.0)]
 _F_NAMES = "out_nation, out_flag, in_segment, rate"
 _EXPANDED = f"""{_MEMBERS}, bridge AS (SELECT p.element_code AS ancestor, c.element_code AS base FROM member p JOIN member c ON c.parent = p.element_code AND c.is_base = 'Y'),

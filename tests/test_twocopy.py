@@ -25,7 +25,15 @@ def test_values_of_every_field(spark):
     for r in spark.read.parquet("/root/testdata/sf0.001/df_diff.parquet").distinct().collect():
         sides[r._tmp_diff_src][r.voucher_no, r.line_no] = r
     far = lambda f, x, y: (x is None) != (y is None) or (x is not None and abs(x - y) >= 0.005) if f == "amount" else x != y if f == "posted_on" else (x or "") != (y or "")
-    want = {(*k, f, str(a[f]) if a[f] is not None else None, str(b[f]) if b[f] is not None else None) for k, a in sides["df_1"].items() if (b := sides["df_2"].get(k)) for f in core.LEDGER_FIELDS if far(f, a[f], b[f])}
-    found = core.p6_all_values(spark, "/root/testdata/sf0.001").collect()
+    text = lambda f, v: None if v is None else f"{v:.6f}" if f == "amount" else str(v)
+    want = {(*k, f, text(f, a[f]), text(f, b[f])) for k, a in sides["df_1"].items() if (b := sides["df_2"].get(k)) for f in core.LEDGER_FIELDS if far(f, a[f], b[f])}
+    found = core.p6_values(spark, "/root/testdata/sf0.001").where("change = 'changed'").collect()
     assert {(r.voucher_no, r.line_no, r.field_name, r.left_value, r.right_value) for r in found} == want and len(found) == len(want)
     assert {"amount", "posted_on"} <= {r.field_name for r in found}
+
+
+def test_layout_differences(spark, rows):
+    a = spark.createDataFrame([(1, "x", 2)], "k int, v string, w int")
+    b = spark.createDataFrame([(1, 5, 2)], "k int, v int, u int")
+    assert rows(twocopy.layout(a, b)) == [("u", None, "int"), ("v", "string", "int"), ("w", "int", None)]
+    assert twocopy.layout(a, a).count() == 0
