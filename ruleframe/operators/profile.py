@@ -156,21 +156,27 @@ def violations(df: DataFrame, row_id: str, patterns: dict[str, Pattern], declare
     ``pattern``: the value's mask is not among its column's mined ones; where a form is declared, values that keep it
     are let go. ``range``: a value that keeps its form but lies outside the range given. Nulls are no violation.
     """
-    declared, ranges, found = declared or {}, ranges or {}, []
-    for c, p in patterns.items():
+    declared, ranges = declared or {}, ranges or {}
+    kept = [q(c) for c in dict.fromkeys([row_id, *([group] if group else []), *patterns])]
+    flags, found = {}, []
+    for k, (c, p) in enumerate(patterns.items()):
         there = q(c).isNotNull()
         rare = _rare(df, c, p, c in declared)
         if c in declared:
             rare = rare & ~_conforms(q(c), declared[c])
+        flags[f"__p{k}"] = F.coalesce(there & rare, F.lit(False))
         shown = level_mask(df, c, "class" if p.level == "none" else p.level)
         cell = lambda f, c=c, shown=shown: F.struct(F.lit(f).alias("finding"), F.lit(c).alias("column_name"), shown.alias("mask"))
-        found.append(F.when(there & rare, cell("pattern")))
+        found.append(F.when(F.col(f"__p{k}"), cell("pattern")))
         if c in ranges:
             low, high = ranges[c]
             well = _conforms(q(c), declared[c]) if c in declared else ~rare
-            found.append(F.when(there & well & ((q(c) < low) | (q(c) > high)), cell("range")))
+            flags[f"__r{k}"] = F.coalesce(there & ((q(c) < low) | (q(c) > high)) & well, F.lit(False))
+            found.append(F.when(F.col(f"__r{k}"), cell("range")))
     g = (F.coalesce(q(group), F.lit(0)) if group else F.lit(0)).cast("int").alias("load_id")
-    return df.select(g, q(row_id).cast("long").alias("row_id"), F.inline(F.array_compact(F.array(*found))))
+    # rows without a finding, nearly all, go before anything is built of them
+    met = df.select(*kept).withColumns(flags).where(reduce(lambda a, b: a | b, map(F.col, flags), F.lit(False)))
+    return met.select(g, q(row_id).cast("long").alias("row_id"), F.inline(F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<finding: string, column_name: string, mask: string>>")))
 
 
 def rare_masks(counts: DataFrame, patterns: dict[str, Pattern]) -> DataFrame:
@@ -263,10 +269,10 @@ def load_departures(counts: DataFrame, medians: dict[str, DataFrame], before: Da
     ``median``: the median is ``factor`` times the earlier one or more, or the ``factor``-th part or less. Loads without
     rows, and those after them, are not compared.
     """
-    told = lambda step, nulls: divergence(counts, before, nulls).where(F.col("divergence") >= _least_divergence(step)).select(F.col("load_id").alias("grp"), "column_name")
+    told = lambda own, step, nulls: divergence(own, before, nulls).where(F.col("divergence") >= _least_divergence(step)).select(F.col("load_id").alias("grp"), "column_name")
     per = counts.groupBy("grp", "column_name").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("mask").isNull(), F.col("n"))), F.lit(0)).alias("nulls"))
     moved = F.round(F.abs(F.col("nulls") / F.col("n") - F.col("old_nulls") / F.col("old_n")), 9)
-    departed = _with_previous(per, before, ["column_name"]).join(told(null_step, True), ["grp", "column_name"], "left_semi")
+    departed = _with_previous(per, before, ["column_name"]).join(told(counts, null_step, True), ["grp", "column_name"], "left_semi")
     found = departed.where(moved >= null_step).select(F.lit("null_share").alias("finding"), "column_name", F.col("grp").alias("load_id"))
     for c, value in shares.items():
         if len(value) > 2:
@@ -275,7 +281,7 @@ def load_departures(counts: DataFrame, medians: dict[str, DataFrame], before: Da
         same = (F.col("tail") == value) & (F.length("mask") == len(value))
         own = own.groupBy("grp", "column_name").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(same, F.col("n"))), F.lit(0)).alias("k"))
         moved = F.round(F.abs(F.col("k") / F.col("n") - F.col("old_k") / F.col("old_n")), 9)
-        departed = _with_previous(own, before, ["column_name"]).join(told(share_step, False), ["grp", "column_name"], "left_semi")
+        departed = _with_previous(own, before, ["column_name"]).join(told(counts.where(F.col("column_name") == c), share_step, False), ["grp", "column_name"], "left_semi")
         found = found.unionByName(departed.where(moved >= share_step).select(F.lit("mix").alias("finding"), "column_name", F.col("grp").alias("load_id")))
     for c, med in medians.items():
         new, old = F.col("median"), F.col("old_median")
