@@ -87,3 +87,15 @@ def test_profile_by_group(spark):
     assert got[2, "code"].rare_rows == 60 and got[2, "code"].dominant_masks is None and got[1, "code"].rare_rows == 0 and got[1, "code"].level == "class"
     whole = {r.column_name: r for r in profile.profile(df).collect()}
     assert whole["n"].n_distinct == 5000 and whole["load_id"].n_nulls == 2 and whole["code"].rare_rows == 60
+
+
+def test_patterns_say_what_masks_say(spark):
+    """A value fits a mask's pattern exactly if it has that mask."""
+    r = random.Random(12)
+    values = ["".join(r.choice("AZazÄßéĳ019٣区ʰ\u0301\u200b-_ ?.$\n") for _ in range(r.randrange(7))) for _ in range(1500)] + ["Y", "N", "202401", ""]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for level in profile.LEVELS:
+        held = [(x.v, x.m) for x in df.select("v", profile.level_mask(df, "v", level).alias("m")).collect()]
+        some = tuple(sorted({m for _, m in held}))[::3]
+        fits = df.select("v", F.col("v").rlike(profile.mask_pattern(level, some)).alias("f")).collect()
+        assert [x.f for x in fits] == [m in some for _, m in held], level
