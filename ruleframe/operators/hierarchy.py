@@ -220,10 +220,10 @@ def _walk(nodes: DataFrame, emit, schema: str) -> DataFrame:
         F.col("dimension").alias("d"), F.col("root_code").alias("root"), F.col("entry_no").alias("i"), F.col("exit_no").alias("o"), F.col("element_code").alias("c"), F.col("n_descendants").alias("n")
     )
     rows = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("part", F.spark_partition_id())
-    parts = rows.rdd.getNumPartitions()
+    parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
     first = rows.groupBy("part").agg(F.min(F.struct(*order)).alias("f")).select("part", F.col("f.d").alias("d"), F.col("f.root").alias("root"), F.col("f.i").alias("at"))
     open_there = rows.drop("part").join(F.broadcast(first), ["d", "root"]).where("i < at and o > at").drop("at").withColumn("seed", F.lit(True))
-    both = rows.withColumn("seed", F.lit(False)).unionByName(open_there).repartitionByRange(max(1, parts), "part").sortWithinPartitions("part", *order)
+    both = rows.withColumn("seed", F.lit(False)).unionByName(open_there).repartitionByRange(parts, "part").sortWithinPartitions("part", *order)
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
