@@ -38,18 +38,19 @@ COVER = 0.9
 PARTS = 4096
 
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-_CLASSES = ((r"\p{Lu}", "A"), (r"\p{Ll}", "a"), (r"[\p{Lo}\p{Lm}\p{Lt}\p{M}]", "w"), (r"[\p{Nd}&&[^0-9]]", "d"), (r"[\p{Cf}\p{Cc}]", "?"))
+_CLASSES = ((r"\p{Lu}", "A"), (r"\p{Ll}", "a"), (r"[\p{Lo}\p{Lm}\p{Lt}\p{M}]", "w"), (r"[\p{Nd}&&[^0-9]]", "d"), (r"[\p{Cf}\x{80}-\x{9f}]", "?"))
 
 
 def mask(value: Column) -> Column:
     """The class mask of a text of any length; null stays null.
 
     ``A`` and ``a`` stand for letters, ``9`` for an ASCII digit, ``d`` for another digit, ``w`` for a letter without
-    case, ``?`` for an invisible character; all else stands for itself.
+    case, ``?`` for an invisible character beyond ASCII; all else stands for itself.
     """
+    ascii_only = F.octet_length(value) == F.char_length(value)
     plain = F.translate(value, _UPPER + _LOWER + _DIGIT, "A" * 26 + "a" * 26 + "9" * 10)
     wide = reduce(lambda c, x: F.regexp_replace(c, *x), _CLASSES, plain)
-    return F.when(value.rlike(r"^[ -~]*\z"), plain).otherwise(wide)
+    return F.when(ascii_only, F.mask(value, F.lit("A"), F.lit("a"), F.lit("9"))).otherwise(wide)
 
 
 def _at(level: str, classes: Column, tail: Column) -> Column:
@@ -123,18 +124,18 @@ def mine(counts: DataFrame, share: float = DOMINANT_SHARE, cover: float = COVER)
     The driver gets the dominant masks only, at most 1 / ``share`` a column and step, whatever the number of rows.
     A column without non-null values has no pattern.
     """
-    parts = []
-    for k, level in enumerate(LEVELS):
-        per = counts.where("mask is not null").groupBy("column_name", _at(level, F.col("mask"), F.col("tail")).alias("m")).agg(F.sum("n").alias("n"), F.sum("n_bad").alias("bad"))
-        whole = per.groupBy("column_name").agg(F.sum("n").alias("of"))
-        parts.append(per.join(whole, "column_name").where(F.col("n") / F.col("of") >= share).select(F.lit(k).alias("k"), "column_name", "m", "n", "bad", "of"))
-    names = [r[0] for r in counts.select("column_name").distinct().collect()]
-    top = sorted(reduce(DataFrame.unionByName, parts).collect(), key=lambda r: (r["k"], r["m"]))
+    whole = {r["column_name"]: r["of"] for r in counts.groupBy("column_name").agg(F.coalesce(F.sum(F.when(F.col("mask").isNotNull(), F.col("n"))), F.lit(0)).alias("of")).collect()}
+    if not whole:
+        return {}
+    steps = F.array(*[F.struct(F.lit(k).alias("k"), _at(level, F.col("mask"), F.col("tail")).alias("m")) for k, level in enumerate(LEVELS)])
+    per = counts.where("mask is not null").select("column_name", "n", "n_bad", F.inline(steps)).groupBy("column_name", "k", "m").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("bad"))
+    least = reduce(lambda w, x: w.when(F.col("column_name") == x[0], float(x[1])), whole.items(), F.when(F.lit(False), 0.0))
+    top = sorted(per.where(F.col("n") / least >= share).collect(), key=lambda r: (r["k"], r["m"]))
     found = {}
-    for c in names:
+    for c, of in whole.items():
         for k, level in enumerate(LEVELS):
             own = [r for r in top if r["column_name"] == c and r["k"] == k]
-            if own and sum(r["n"] for r in own) >= cover * own[0]["of"]:
+            if own and sum(r["n"] for r in own) >= cover * of:
                 found[c] = Pattern(level, tuple(r["m"] for r in own if not r["bad"]), tuple(r["m"] for r in own if r["bad"]))
                 break
         else:
@@ -142,7 +143,7 @@ def mine(counts: DataFrame, share: float = DOMINANT_SHARE, cover: float = COVER)
     return found
 
 
-_SIGNS = {"A": r"\p{Lu}", "a": r"\p{Ll}", "9": "[0-9]", "d": r"[\p{Nd}&&[^0-9]]", "w": r"[\p{Lo}\p{Lm}\p{Lt}\p{M}]", "?": r"[\p{Cf}\p{Cc}?]"}
+_SIGNS = {"A": r"\p{Lu}", "a": r"\p{Ll}", "9": "[0-9]", "d": r"[\p{Nd}&&[^0-9]]", "w": r"[\p{Lo}\p{Lm}\p{Lt}\p{M}]", "?": r"[\p{Cf}\x{80}-\x{9f}?]"}
 
 
 def mask_pattern(level: str, masks: tuple[str, ...]) -> str:
@@ -211,9 +212,9 @@ def rare_masks(counts: DataFrame, patterns: dict[str, Pattern]) -> DataFrame:
 def _ranked(counts: DataFrame, picks: DataFrame, keys: list[str]) -> DataFrame:
     """The part of each interval that holds the wanted rank, as the next, narrower interval."""
     upto = F.sum("n").over(W.partitionBy(*keys, "rank").orderBy("k").rowsBetween(W.unboundedPreceding, 0))
-    met = counts.join(picks, keys).withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
+    met = counts.join(picks.select(*keys, "rank", "inside"), keys).withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
     inside = F.col("inside") - F.col("before")
-    return met.where("before < inside and inside <= upto").select("grp", "rank", F.col("least").alias("lo"), F.col("most").alias("hi"), inside.alias("inside"))
+    return met.where("before < inside and inside <= upto").select("grp", "rank", F.col("least").alias("lo"), F.col("most").alias("hi"), inside.alias("inside"), "n")
 
 
 def group_medians(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -222,7 +223,8 @@ def group_medians(df: DataFrame, group: str, value: str) -> DataFrame:
     Exact for any distribution, infinities included. The first pass counts by power of ten and two digits; each later
     one keeps the rows inside the chosen interval and counts them by ``PARTS`` equal parts of it. Parts follow the order
     of the values, so the next interval is the least and the greatest value of one part; at most ``PARTS`` counts a
-    group are ranked at once. The passes end when every interval is a single value, after five at most.
+    group are ranked at once. An interval is done when it is a single value or holds at most ``PARTS`` rows, which are
+    sorted as one array; that takes five passes at most.
     """
     live = df.select(q(group).alias("grp"), F.abs(q(value).cast("double")).alias("v")).where("grp is not null and v is not null and not isnan(v)")
     power = F.greatest(F.floor(F.log10("v")), F.lit(-300)).cast("int")
@@ -233,16 +235,22 @@ def group_medians(df: DataFrame, group: str, value: str) -> DataFrame:
     middle = F.explode(F.array_distinct(F.array(F.expr("(total + 1) div 2"), F.expr("total div 2 + 1"))))
     wanted = counts.groupBy("grp").agg(F.sum("n").alias("total")).select("grp", middle.alias("rank")).withColumn("inside", F.col("rank"))
     picks = cut(_ranked(counts, wanted, ["grp"]))
-    done = [picks.where("lo = hi")]
+    done = [picks.where("lo = hi").select("grp", "rank", "lo")]
     picks = picks.where("lo < hi")
     while picks.limit(1).count():
-        ranges = picks.select("grp", "lo", "hi").distinct()
-        near = small(cut(ranges.select(F.col("grp").alias("g"), "lo", "hi")))
-        live = cut(live.select("grp", "v").join(near, F.expr("grp = g and v between lo and hi")).select("grp", "v", "lo", "hi"))
+        picks = picks.withColumn("few", F.col("n") <= PARTS)
+        ranges = picks.select("grp", "lo", "hi", "few").distinct()
+        near = small(cut(ranges.select(F.col("grp").alias("g"), "lo", "hi", "few")))
+        live = cut(live.select("grp", "v").join(near, F.expr("grp = g and v between lo and hi")).select("grp", "v", "lo", "hi", "few"))
+        sorted_ = live.where("few").groupBy("grp", "lo", "hi").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+        done.append(picks.where("few").join(sorted_, ["grp", "lo", "hi"]).select("grp", "rank", F.expr("element_at(vs, int(inside))").alias("lo")))
+        picks, live = picks.where("not few"), live.where("not few")
+        if not picks.limit(1).count():
+            break
         part = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * PARTS), F.lit(PARTS - 1)).cast("int")
         counts = live.groupBy("grp", "lo", "hi", part.alias("k")).agg(*stats)
         picks = cut(_ranked(counts, picks, ["grp", "lo", "hi"]))
-        done.append(picks.where("lo = hi"))
+        done.append(picks.where("lo = hi").select("grp", "rank", "lo"))
         picks = picks.where("lo < hi")
     return reduce(DataFrame.unionByName, done).groupBy("grp").agg(F.avg("lo").alias("median"))
 

@@ -228,7 +228,7 @@ UNION ALL SELECT 'detail', 'median', 'amount', a.load_id, 0 FROM j WHERE a.med >
 )
 
 _CLASSED = "regexp_replace(v, '[0-9]', chr(1), 'g')"
-for _pattern, _sign in ((r"\p{Lu}", "A"), (r"\p{Ll}", "a"), (r"[\p{Lo}\p{Lm}\p{Lt}\p{M}]", "w"), (r"\p{Nd}", "d"), (r"\x01", "9"), (r"[\p{Cf}\p{Cc}]", "?")):
+for _pattern, _sign in ((r"\p{Lu}", "A"), (r"\p{Ll}", "a"), (r"[\p{Lo}\p{Lm}\p{Lt}\p{M}]", "w"), (r"\p{Nd}", "d"), (r"\x01", "9"), (r"[\p{Cf}\x{80}-\x{9f}]", "?")):
     _CLASSED = f"regexp_replace({_CLASSED}, '{_pattern}', '{_sign}', 'g')"
 _TEXT_COLUMNS = ["voucher_no", "period", "entity", "element_code", "is_base", "currency"]
 _META_COLUMNS = ["dimension", "element_code", "element_name", "is_base", "parent"]
