@@ -304,6 +304,7 @@ def map_table(df: DataFrame, rows: DataFrame | list[dict[str, Any]]) -> Mapped:
     if not batches:
         return Mapped(df, df.limit(0).withColumn("miss_order_execution", F.lit(0.0)))
     base, by_row = _read(batches, df.columns)
+    by_row = by_row or len(batches) == 1  # one batch matches distinct combinations anyway
     keys = {} if by_row else {c: f"__k{i}" for i, c in enumerate(base)}
     work = df if by_row else cut(df.select(*[q(c) for c in base]).distinct()).withColumns({k: q(c) for c, k in keys.items()})
     missed: list[DataFrame] = []
