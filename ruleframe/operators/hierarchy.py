@@ -6,7 +6,7 @@ follows from those two numbers: depth, root, subtree size, ancestors, paths and
 How it scales:
 
 * Leaves are peeled in doubling strides (one level, then two, four, ...), so a chain of a million nodes takes twenty
-  rounds. What never peels away are the cycles.
+  rounds. What never peels away are the cycles. Only parents take part, and few enough of them are peeled by one task.
 * The tour is a linked list with two elements a node, one for a leaf. It is ranked by contraction: elements whose hash
   is smaller than that of both neighbours are spliced out, about a third each round, until at most ``rank_in_one_task``
   are left; these are ranked in one task, and the spliced ones are put back round by round. Work is linear in the
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ruleframe.storage import cut, numbered
 
-#: A list of so many elements (about 50 bytes each) is ranked by one task.
+#: A list of so many elements (about 50 bytes each) is ranked by one task; so many parents are searched for cycles by one.
 RANK_IN_ONE_TASK = 100_000
 #: A parent with more than this share of all nodes is looked up by broadcast; there are fewer than 1 / share such parents.
 HEAVY_SHARE = 0.005
@@ -76,17 +76,36 @@ def build(rows: DataFrame, dimension: str = "dimension", code: str = "element_co
         .agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
         .join(m.select("d", F.col("c").alias("p"), F.col("id").alias("pid"), F.col("p").alias("pp")), ["d", "p"])
     )
-    cycle = _cycles(groups)
+    at_once = RANK_IN_ONE_TASK if rank_in_one_task is None else rank_in_one_task
+    cycle = _cycles(groups, at_once)
     groups = cut(_without_cycle_links(groups, cycle))
     tour = _tour(m, groups, cycle)
-    return Hierarchy(_numbers(m, _ranked(tour, RANK_IN_ONE_TASK if rank_in_one_task is None else rank_in_one_task)))
+    return Hierarchy(_numbers(m, _ranked(tour, at_once)))
 
 
-def _cycles(groups: DataFrame) -> DataFrame:
+def _cycles_in_one_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What ``_cycles`` gives, of one task's nodes: after as many steps up as there are nodes, all are on cycles or out."""
+    whole = [b for b in batches if len(b)]
+    if not whole:
+        return
+    x = pd.concat(whole, ignore_index=True).sort_values("v", ignore_index=True)
+    v, out = x["v"].to_numpy(), len(x)
+    wanted = x["up"].fillna(-1).to_numpy().astype(np.int64)
+    at = np.minimum(np.searchsorted(v, wanted), out - 1)
+    up = np.append(np.where(v[at] == wanted, at, out), out)
+    for _ in range(out.bit_length()):
+        up = up[up]
+    left = np.unique(up[:-1])
+    yield x.iloc[left[left < out]]
+
+
+def _cycles(groups: DataFrame, at_once: int) -> DataFrame:
     """(v, up) of the nodes that reach themselves: what is left when no leaf is left to peel."""
     up = groups.select("d", F.col("p").alias("pp"), F.col("pid").alias("up"))
     live = cut(groups.select("d", "pp", F.col("pid").alias("v")).join(up, ["d", "pp"], "left").select("v", "up"))
     jump, n = live, live.count()
+    if n <= at_once:
+        return cut(live.repartition(1).mapInPandas(_cycles_in_one_task, "v long, up long"))
     while n:
         # v stays if a live node has it as its jump target; the target lies 1, 2, 4, ... levels up
         kept = jump.join(jump.select(F.col("up").alias("v")).where("v is not null").distinct(), "v", "left_semi")
