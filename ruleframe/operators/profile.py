@@ -262,7 +262,7 @@ def previous_loads(log: DataFrame, load: str = "load_id", feed: str = "feed_code
 
 def _with_previous(stats: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
     old = stats.select(F.col("grp").alias("prev"), *keys, *[F.col(c).alias(f"old_{c}") for c in stats.columns if c not in ("grp", *keys)])
-    return stats.join(before, "grp").join(old, ["prev", *keys])
+    return stats.join(small(before), "grp").join(old, ["prev", *keys])
 
 
 def divergence(counts: DataFrame, before: DataFrame, nulls: bool = True) -> DataFrame:
@@ -270,15 +270,17 @@ def divergence(counts: DataFrame, before: DataFrame, nulls: bool = True) -> Data
     tails, from the load before; null is a mask of its own or, without ``nulls``, does not count."""
     counts = counts if nulls else counts.where("mask is not null")
     one = counts.select("grp", "column_name", F.coalesce(_at("tail", F.col("mask"), F.col("tail")), F.lit("\u0000")).alias("m"), "n")
-    whole = one.groupBy("grp", "column_name").agg(F.sum("n").alias("of"))
-    p = one.groupBy("grp", "column_name", "m").agg(F.sum("n").alias("n")).join(whole, ["grp", "column_name"]).select("grp", "column_name", "m", (F.col("n") / F.col("of")).alias("p"))
-    pairs = before.join(whole.select("grp", "column_name"), "grp").join(whole.select(F.col("grp").alias("prev"), "column_name"), ["prev", "column_name"])
-    new = p.join(pairs, ["grp", "column_name"]).select("grp", "column_name", "m", "p", F.lit(0.0).alias("q"))
-    old = pairs.join(p.withColumnRenamed("grp", "prev"), ["prev", "column_name"]).select("grp", "column_name", "m", F.lit(0.0).alias("p"), F.col("p").alias("q"))
+    per = one.groupBy("grp", "column_name", "m").agg(F.sum("n").alias("n"))
+    whole = small(cut(one.groupBy("grp", "column_name").agg(F.sum("n").alias("of"))))
+    p = per.join(whole, ["grp", "column_name"]).select("grp", "column_name", "m", (F.col("n") / F.col("of")).alias("p"))
+    near = small(before)
+    new = p.join(near.select("grp"), "grp").select("grp", "column_name", "m", "p", F.lit(0.0).alias("q"))
+    old = p.withColumnRenamed("grp", "prev").join(near, "prev").select("grp", "column_name", "m", F.lit(0.0).alias("p"), F.col("p").alias("q"))
     both = new.unionByName(old).groupBy("grp", "column_name", "m").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     mid = (F.col("p") + F.col("q")) / 2
     part = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log2(F.col(x) / mid)).otherwise(0.0) / 2
-    return both.groupBy(F.col("grp").alias("load_id"), "column_name").agg(F.sum(part("p") + part("q")).alias("divergence"))
+    found = both.groupBy(F.col("grp").alias("load_id"), "column_name").agg(F.sum(part("p") + part("q")).alias("divergence"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    return found.where("p > 0 and q > 0").select("load_id", "column_name", "divergence")  # both loads have rows
 
 
 def _least_divergence(step: float) -> float:
