@@ -458,16 +458,13 @@ def map_table_rules(spark: SparkSession, d: str) -> DataFrame:
 _NOTHING = "∅"
 
 
-def _layer_rules(spark: SparkSession, d: str) -> list[dict]:
+def _layer_rules(spark: SparkSession, d: str) -> DataFrame:
     """All rules of ``mapping_1t``, made valid: an empty condition holds where the value is empty too, and rules of one
     priority go by ``rule_id``, each with a priority of its own, whatever their conditions."""
-    return [
-        r.asDict()
-        for r in query(ship(spark), f"""SELECT order_execution, row_number() OVER (PARTITION BY order_execution ORDER BY priority, rule_id) AS priority, mapping_code, keep_row,
+    return query(ship(spark), f"""SELECT order_execution, row_number() OVER (PARTITION BY order_execution ORDER BY priority, rule_id) AS priority, mapping_code, keep_row,
       '__' || source_field_1 AS source_field_1, CASE WHEN source_field_1 IS NOT NULL THEN coalesce(nullif(source_code_1, ''), '{_NOTHING}') END AS source_code_1,
       '__' || source_field_2 AS source_field_2, CASE WHEN source_field_2 IS NOT NULL THEN coalesce(nullif(source_code_2, ''), '{_NOTHING}') END AS source_code_2, output_field_1, output_code_1
-      FROM read_parquet('{d}/mapping_1t.parquet') ORDER BY rule_id""").collect()
-    ]
+      FROM read_parquet('{d}/mapping_1t.parquet') ORDER BY rule_id""")
 
 
 _MEETS = "CASE WHEN starts_with({s}, 'reg{{') THEN regexp_matches(CASE WHEN {v} = '' THEN '∅' ELSE {v} END, substr({s}, 5, length({s}) - 5)) ELSE {v} = {s} END"

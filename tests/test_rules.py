@@ -229,3 +229,62 @@ def test_wide_rules(spark, rows):
             mapping.map_n(df, [r | {"v": 1} for r in only], **({"outputs": ["c"]} | bad))
     with pytest.raises(RuleError):
         mapping.read_wide_rules([{"rule_dimension": "s+z", "priority": 1, "mapping_code": "a", "s": "a", "c": "x"}], ["c"])
+
+
+def _recorded(monkeypatch):
+    """The row counts of all that ``mapping`` writes."""
+    counts = []
+
+    def cut(df):
+        counts.append((out := real(df)).count())
+        return out
+
+    real = mapping.cut
+    monkeypatch.setattr(mapping, "cut", cut)
+    return counts
+
+
+def test_rows_no_rule_tells_apart_are_one(spark, monkeypatch):
+    """Many values, few rules, outputs computed from the rows: written are kinds of rows, and the result is that row by row."""
+    counts = _recorded(monkeypatch)
+    data = [(i, ["E1", "E2", "E3", None, ""][i % 5], None if i % 211 == 0 else f"A{i * 37 % 1000:03d}", f"20{i % 90 + 10}") for i in range(3000)]
+    df = spark.createDataFrame(data, "k int, e string, c string, p string")
+    given = [
+        ("a", {"c": "reg{^A}"}, {"o": "var{p}->reg{^(..)}"}, 1), ("b", {"e": "E1", "c": "reg{^A1}"}, {"o": None}, 1), ("c", {"e": "E1", "c": "A1"}, {"o": "never"}, 1), ("d", {"e": "E2", "c": "A005"}, {"o": "exact"}, 1),
+        ("e", {"e": "E3", "c": "reg{}"}, {"o": "none"}, 1), ("f", {"c": "reg{^A12"}, {"o": "never"}, 1),
+        ("g", {"e": "reg{^E}"}, {"o": "var{e}", "q": "var{c}"}, 2), ("h", {"e": "E2", "c": "reg{^A00}"}, {"o": "var{p}->reg{(.)$}", "q": "x"}, 2), ("i", {"c": "reg{^A9}"}, {"o": "nine", "q": "exp{k * 2}"}, 2),
+    ]
+    done = mapping.map_table(df, _rules(*given))
+    kept, missed = [], []
+    for k, e, c, p in data:
+        first = [code for code, hit in (("a", (c or "").startswith("A")), ("b", e == "E1" and (c or "").startswith("A1")), ("d", (e, c) == ("E2", "A005")), ("e", e == "E3")) if hit]
+        o = "none" if e == "E3" else "exact" if "d" in first else p[:2] if first else None
+        second = [code for code, hit in (("g", (e or "").startswith("E")), ("h", e == "E2" and (c or "").startswith("A00")), ("i", (c or "").startswith("A9"))) if hit]
+        if not first:
+            missed.append((k, e, c, p, None, None, 1.0))
+        elif not second:
+            missed.append((k, e, c, p, o, "->".join(first), 2.0))
+        else:
+            line = {"g": e, "h": p[-1], "i": "nine"}[second[-1]]
+            kept.append((k, e, c, p, line, {"g": c, "h": "x", "i": str(k * 2)}[second[-1]], "->".join(second)))
+    by_key = lambda df: sorted(map(tuple, df.collect()), key=lambda r: r[0])
+    assert by_key(done.result.select("k", "e", "c", "p", "o", "q", "map_trc_q")) == kept
+    assert by_key(done.missed.select("k", "e", "c", "p", "o", "map_trc_o", "miss_order_execution")) == missed
+    assert {r[6] for r in missed} == {1.0, 2.0} and max(counts) < 50
+
+
+def test_values_of_replaced_batches_still_stop(spark):
+    """A pattern that finds nothing is an error although a later batch replaces its value; not where no rule asks for it."""
+    df = spark.createDataFrame([(1, "a", "x1"), (2, "b", "y")], "k int, s string, v string")
+    given = lambda s: _rules(("r1", {"s": s}, {"o": r"var{v}->reg{(\d)}"}, 1), ("r2", {"s": s}, {"o": "var{v}"}, 2))
+    with pytest.raises(Exception, match="finds nothing"):
+        mapping.map_table(df, given("b")).result.collect()
+    assert [tuple(r) for r in mapping.map_table(df, given("a")).result.select("k", "o").collect()] == [(1, "x1")]
+
+
+def test_types_of_own_and_written_values(spark):
+    """A column that only some rows got written, beside others' own values, and a condition on what a batch wrote."""
+    df = spark.createDataFrame([(1, 5, 1.5), (2, 6, 2.5), (3, 7, None)], "k int, n int, v double")
+    done = mapping.map_table(df, _rules(("r1", {"n": "5"}, {"n": "var{v}"}, 1), ("r2", {"n": "6"}, {"n": "var{v}"}, 1), ("r3", {"n": "1.5"}, {"x": "y"}, 2)))
+    assert [(r.k, r.n, r.x) for r in done.result.collect()] == [(1, 1.5, "y")]
+    assert {(r.k, r.n, r.map_trc_n, r.miss_order_execution) for r in done.missed.collect()} == {(2, 2.5, "r2", 2.0), (3, 7.0, None, 1.0)}
